@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gazette.llm.bpe import decode, encode
 from gazette.llm.common import materialize
 from gazette.llm.content_sort import content_sort
 from gazette.llm.mixing import mixed
 from gazette.llm.quality import quality_kept
 from gazette.llm.simhash import simhash_kept
 
+#: Where the box keeps the vocabulary.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -35,7 +41,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing)]
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row that is left, and whether they decode to its text."""
+    rows = decode(encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY), VOCABULARY)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
 
 #: The outlier estimates, the fingerprint links and BPE are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
