@@ -196,7 +196,7 @@ def ref_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspack.dangling(o, known, ["customer", "parts"])
 
 
-@query(f"WITH {LINES}, f AS (SELECT l_orderkey AS id, l_partkey AS target, min(n) AS at FROM lines GROUP BY 1, 2), k AS (SELECT id, target, row_number() OVER (PARTITION BY id ORDER BY at) - 1 AS place FROM f) SELECT id, place::INT AS place, target::VARCHAR AS target, p_name AS title FROM k LEFT JOIN part ON p_partkey = target WHERE place < 3")
+@query(f"WITH {LINES}, f AS (SELECT l_orderkey AS id, l_partkey AS target, min(n) AS pos FROM lines GROUP BY 1, 2), k AS (SELECT id, target, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS place FROM f) SELECT id, place::INT AS place, target::VARCHAR AS target, p_name AS title FROM k LEFT JOIN part ON p_partkey = target WHERE place < 3")
 def related_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("n", F.col("l_partkey").cast("string").alias("p"))))
     o = lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(parts, lambda x: x["p"]).alias("related"))
