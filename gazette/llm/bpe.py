@@ -27,6 +27,20 @@ from .common import prefix
 
 #: How byte-level BPE splits a text before merging (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that the regex module knows as letters or numbers and the library does not yet: first, last (fixed values).
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_NEWER = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]"
+#: PATTERN with those neither letters nor numbers; it is slower, and for texts that have one.
+CAREFUL = "(?V1)" + PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{_NEWER}]").replace(r"\p{L}+", rf"[\p{{L}}--{_NEWER}]+").replace(r"\p{N}+", rf"[\p{{N}}--{_NEWER}]+")
 #: Words that the lexicon holds at most, and bytes of one: what is broadcast stays below 10 MB.
 LEXICON_WORDS, WORD_BYTES = 131_072, 32
 #: Distinct words that a worker counts before it passes them on, and that it remembers.
@@ -60,7 +74,11 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.pieces |= {v: k.encode() for k, v in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(PATTERN).findall
+        self.plain, self.careful = regex.compile(PATTERN).findall, regex.compile(CAREFUL).findall
+        self.high, self.newer = regex.compile(rf"[^\x00-{chr(NEWER[0][0] - 1)}]").search, regex.compile(_NEWER).search
+
+    def words(self, text: str) -> list[str]:
+        return self.careful(text) if self.high(text) and self.newer(text) else self.plain(text)
 
     def split(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
