@@ -83,5 +83,5 @@ def table_rows(pages: DataFrame) -> DataFrame:
 
 
 def read_html(spark: SparkSession, path: str, source: Source, most: int = 120) -> DataFrame:
-    pages = spark.read.option("wholetext", "true").text(path).select(F.lit(source.url).alias("base"), F.col("value").alias("html"))
+    pages = spark.read.text(path, wholetext=True).select(F.lit(source.url).alias("base"), F.col("value").alias("html"))
     return table_items(table_rows(pages), source, "html-table-row", most)

@@ -33,6 +33,6 @@ def read_markdown(spark: SparkSession, path: str, source: Source, most: int = 12
     options = source.options
     if not options.get("rendered_base_url"):
         raise ValueError(f"{source.name} needs the option rendered_base_url")
-    documents = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     rows = table_rows(documents, options.get("doc_path", ""), options.get("docs_prefix", ""), options["rendered_base_url"])
     return table_items(rows, source, "markdown-table-row", most)

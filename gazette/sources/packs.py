@@ -39,7 +39,7 @@ def source_of(entry: dict) -> Source:
 def read_packs(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, list[Source]], dict[str, dict[str, list[Rule]]]]:
     """A row for each pack under root (`*/pack.yml`), its sources and its rules. A pack that cannot be read has an error and no others."""
     rows, sources, rules = [], {}, {}
-    for r in sorted(spark.read.option("wholetext", "true").text(f"{root}/*/pack.yml").select("_metadata.file_path", "value").collect()):
+    for r in sorted(spark.read.text(f"{root}/*/pack.yml", wholetext=True).select("_metadata.file_path", "value").collect()):
         pack = r[0].split("/")[-2]
         try:
             config = parse_pack(r[1])
