@@ -67,17 +67,25 @@ def near(titles: DataFrame, threshold: float = 0.85) -> DataFrame:
     return best.select(F.col("b").alias("rank"), (-F.col("best.first")).alias("matched_rank"), F.col("best.score").alias("similarity"))
 
 
-def decide(items: DataFrame, threshold: float = 0.85, **seen) -> DataFrame:
-    """(rank, verdict, matched, similarity): all three layers over items (rank, key, content, tokens). Near duplicates are new items, flagged."""
+def decide(items: DataFrame, threshold: float = 0.85, seen_titles: DataFrame | None = None, **seen: DataFrame) -> DataFrame:
+    """(rank, verdict, matched, similarity): all three layers over items (rank, key, content, tokens). Near duplicates are new items, flagged.
+
+    seen_titles: (title, owner) of earlier runs, normalised; they come before all items, in order of title. Ranks are 0 or more.
+    """
     first = exact(items, **seen)
-    new = first.filter(F.col("verdict") == NEW).select("rank").join(items.select("rank", "tokens"), "rank")
-    flagged = near(new, threshold)
+    titles = first.filter(F.col("verdict") == NEW).select("rank").join(items.select("rank", "tokens"), "rank").withColumn("owner", F.lit(PENDING))
+    if seen_titles is not None:
+        back = F.row_number().over(Window.orderBy(F.desc("title")))  # one row for each stored title, without its text
+        tokens = F.array_distinct(F.filter(F.split("title", " "), lambda w: w != ""))
+        titles = titles.unionByName(seen_titles.select((-back).cast("long").alias("rank"), tokens.alias("tokens"), "owner"))
+    titles = written(titles, "dedupe-titles")
+    flagged = near(titles, threshold).join(titles.select(F.col("rank").alias("matched_rank"), "owner"), "matched_rank")
     rows = first.join(flagged, "rank", "left")
     is_near = F.col("matched_rank").isNotNull()
     return rows.select(
         "rank",
         F.when(is_near, NEAR).otherwise(F.col("verdict")).alias("verdict"),
-        F.when(is_near, PENDING).otherwise(F.col("matched")).alias("matched"),
+        F.when(is_near, F.col("owner")).otherwise(F.col("matched")).alias("matched"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
     )
 
