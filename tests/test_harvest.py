@@ -4,6 +4,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from gazette.__main__ import main
 from gazette.operators.classify import rules_from_config
 from gazette.plans.harvest import QUEUE, Run, harvest
 from gazette.sources import store
@@ -52,3 +53,8 @@ def test_runs(spark, tmp_path):
     changed = now["TST-2026-07-002"]
     assert [r.summary for r in changed.revisions] == ["First seen", "New summary"] and changed.revisions[1].changed_fields == ["content_hash"]
     assert changed.notes == got["TST-2026-07-002"].notes and len(spark.read.json(f"{root}/run-log").collect()) == 3
+
+    assert main(["search", root, "--tag", "LAKE", "--tier", "1", "--no-stale"], spark) == 0
+    assert main(["get", root, "TST-2026-07-002"], spark) == 0 and main(["get", root, "TST-2026-07-099"], spark) == 1
+    assert main(["history", root, "TST-2026-07-002"], spark) == 0 and main(["validate", root], spark) == 0
+    assert main(["review", root], spark) == 0 and main(["status", root], spark) == 0 and main(["nonsense"], spark) == 2
