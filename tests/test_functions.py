@@ -37,8 +37,8 @@ def test_canonical_urls(spark):
 @pytest.mark.parametrize(
     ("target", "want"),
     [
-        ("../onelake/tables.md#anchor", "https://learn.example/en/onelake/tables"),
-        ("same.md", "https://learn.example/en/fundamentals/same"),
+        ("../storage/tables.md#anchor", "https://learn.example/en/storage/tables"),
+        ("same.md", "https://learn.example/en/basics/same"),
         ("https://Other.example/x/?ref=1", "https://other.example/x"),
         ("#anchor", None),
         ("picture.png", None),
@@ -48,7 +48,7 @@ def test_canonical_urls(spark):
     ],
 )
 def test_document_links(spark, target, want):
-    assert apply(spark, lambda t: urls.resolve_doc_link(t, "docs/fundamentals/new.md", "docs/", "https://learn.example/en"), [target]) == [want]
+    assert apply(spark, lambda t: urls.resolve_doc_link(t, "docs/basics/new.md", "docs/", "https://learn.example/en"), [target]) == [want]
 
 
 @pytest.mark.parametrize(
@@ -78,10 +78,10 @@ def test_date_cells_and_feed_dates(spark):
 
 
 def test_titles(spark):
-    same = ["Direct Lake is now generally available", "Announcing general availability of Direct  Lake!"]
-    assert apply(spark, text.normalise_title, [*same, "X enters preview", "X reaches GA", "of the"]) == ["direct lake", "direct lake", "enters x", "reaches x", ""]
+    same = ["Clear Lake is now generally available", "Announcing general availability of Clear  Lake!"]
+    assert apply(spark, text.normalise_title, [*same, "X enters preview", "X reaches GA", "of the"]) == ["clear lake", "clear lake", "enters x", "reaches x", ""]
     assert apply(spark, text.slugify, ["", "Hello,  World!", "a" * 70, "word " * 20]) == ["untitled", "hello-world", "a" * 60, "-".join(["word"] * 12)]
-    assert apply(spark, text.fold, ["Direct-Lake: É_x"]) == ["direct lake é x"]
+    assert apply(spark, text.fold, ["Clear-Lake: É_x"]) == ["clear lake é x"]
 
 
 def test_texts(spark):
@@ -97,8 +97,8 @@ def test_texts(spark):
 
 
 def test_identifiers(spark):
-    got = apply(spark, ids.parse_id, ["MSF-2026-05-002", "AB-2026-13-001", "A-2026-01-001", "AB-2026-01-01", "ABCD-2026-12-1234"])
-    assert [x and (x.prefix, x.month_key, x.sequence) for x in got] == [("MSF", "2026-05", 2), None, None, None, ("ABCD", "2026-12", 1234)]
+    got = apply(spark, ids.parse_id, ["ABC-2026-05-002", "AB-2026-13-001", "A-2026-01-001", "AB-2026-01-01", "ABCD-2026-12-1234"])
+    assert [x and (x.prefix, x.month_key, x.sequence) for x in got] == [("ABC", "2026-05", 2), None, None, None, ("ABCD", "2026-12", 1234)]
     assert apply(spark, lambda n: ids.format_id(F.lit("AB"), F.lit(2026), F.lit(5), n.cast("int")), ["7", "1234"]) == ["AB-2026-05-007", "AB-2026-05-1234"]
     assert apply(spark, ids.short_key, ["sha256:0123456789abcdef"]) == ["0123456789ab"]
 
