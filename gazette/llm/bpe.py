@@ -176,14 +176,14 @@ class Lexicon:
 
     @classmethod
     def of(cls, block: bytes) -> Lexicon:
-        """Map `block` from this machine's temporary folder, where its first user writes it."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(block).hexdigest()[:16]}")
-        if not os.path.exists(path) or os.path.getsize(path) != len(block):
-            handle, own = tempfile.mkstemp(dir=tempfile.gettempdir())
+        """Map `block` from a file of this machine's temporary folder, which goes with the process that maps it."""
+        handle, path = tempfile.mkstemp()
+        try:
             with os.fdopen(handle, "wb") as f:
                 f.write(block)
-            os.replace(own, path)
-        return cls(path)
+            return cls(path)
+        finally:
+            os.unlink(path)
 
     def lookup(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
         """The ids of each word, None where it is not in the lexicon; all words take a step at a time."""
