@@ -13,7 +13,8 @@ import json
 import os
 import tempfile
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prefix
+from .common import materialize, prefix
 
 #: How byte-level BPE splits a text before merging (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,10 +44,14 @@ _NEWER = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]"
 CAREFUL = "(?V1)" + PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{_NEWER}]").replace(r"\p{L}+", rf"[\p{{L}}--{_NEWER}]+").replace(r"\p{N}+", rf"[\p{{N}}--{_NEWER}]+")
 #: Words that the lexicon holds at most, and bytes of one: what is broadcast stays below 10 MB.
 LEXICON_WORDS, WORD_BYTES = 131_072, 32
+#: Words of fewer occurrences in all are never in the lexicon.
+LEAST_COUNT = 4
 #: Distinct words that a worker counts before it passes them on, and that it remembers.
 COUNTED, REMEMBERED = 400_000, 400_000
 #: Rows encoded together.
-ROWS = 256
+ROWS = 1_024
+#: The rank of a pair that does not merge.
+NONE = np.iinfo(np.int64).max
 
 
 def byte_symbols() -> dict[str, int]:
@@ -64,15 +69,23 @@ class Vocabulary:
         of = byte_symbols()
         raw = lambda s: bytes(of[c] for c in s)
         ids = {raw(k): v for k, v in spec["model"]["vocab"].items()}
-        self.pieces: dict[int, bytes] = {v: k for k, v in ids.items()}
+        pieces: dict[int, bytes] = {v: k for k, v in ids.items()}
         self.single = [ids[bytes([b])] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(pairs):
             a, b = raw(a), raw(b)
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        order = sorted((a * len(ids) + b, rank) for (a, b), (rank, _) in self.merges.items())
+        self.ids, self.first = len(ids), np.array(self.single, np.int64)
+        self.pair_keys, self.pair_ranks = (np.array([x[k] for x in order], np.int64) for k in (0, 1))
+        self.merged = np.array([to for _, to in sorted(self.merges.values())], np.int64)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.pieces |= {v: k.encode() for k, v in self.special.items()}
+        pieces |= {v: k.encode() for k, v in self.special.items()}
+        every = [pieces.get(k, b"") for k in range(max(pieces) + 1)]
+        self.piece_sizes = np.array([len(x) for x in every], np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.piece_bytes = np.frombuffer(b"".join(every), np.uint8)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.plain, self.careful = regex.compile(PATTERN).findall, regex.compile(CAREFUL).findall
         self.high, self.newer = regex.compile(rf"[^\x00-{chr(NEWER[0][0] - 1)}]").search, regex.compile(_NEWER).search
@@ -87,21 +100,75 @@ class Vocabulary:
         return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.words(part))]
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        """The ids of one word: of its pairs, the one of least rank is merged until none has a rank."""
-        ids, merges = [self.single[b] for b in word], self.merges
-        while len(ids) > 1:
-            rank, at, to = 1 << 60, -1, 0
-            for k, pair in enumerate(zip(ids, ids[1:])):  # noqa: B905
-                found = merges.get(pair)
-                if found is not None and found[0] < rank:
-                    (rank, to), at = found, k
-            if at < 0:
+        """The ids of one word: of its pairs, that of least rank, then the leftmost, is merged until none has a rank. n log n in its length."""
+        ids, get = [self.single[b] for b in word], self.merges.get
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], k, ids[k], ids[k + 1]) for k in range(n - 1) if (found := get((ids[k], ids[k + 1])))]
+        heapify(heap)
+        while heap:
+            _, k, a, b = heappop(heap)
+            j = after[k]
+            if ids[k] != a or j >= n or ids[j] != b:
+                continue  # one of the two is merged already
+            ids[k], ids[j] = get((a, b))[1], -1
+            after[k] = after[j]
+            if after[j] < n:
+                before[after[j]] = k
+            for i in (before[k], k):
+                if i >= 0 and after[i] < n and (found := get((ids[i], ids[after[i]]))):
+                    heappush(heap, (found[0], i, ids[i], ids[after[i]]))
+        return tuple(i for i in ids if i >= 0)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NONE where they do not merge."""
+        key = a * self.ids + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """merge() of each word; all but long words take a step at a time together."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= WORD_BYTES]
+        for k, w in enumerate(words):
+            if len(w) > WORD_BYTES:
+                out[k] = self.merge(w)
+        if not short:
+            return out
+        sizes = np.fromiter((len(words[k]) for k in short), np.int64, len(short))
+        ids = self.first[np.frombuffer(b"".join(words[k] for k in short), np.uint8)]
+        word = np.repeat(np.arange(len(short)), sizes)
+        rank = np.full(len(ids), NONE)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.ranks(ids[inner], ids[inner + 1])
+        while True:
+            best = np.minimum.reduceat(rank, np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))))
+            at = np.flatnonzero((rank == best[word]) & (rank != NONE))
+            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))] if len(at) else at
+            if not len(at):
                 break
-            ids[at : at + 2] = [to]
-        return tuple(ids)
-
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+            ids[at] = self.merged[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            place = (np.cumsum(keep) - 1)[at]
+            ids, rank, word = ids[keep], rank[keep], word[keep]
+            for k in (place, place[place > 0] - 1):
+                inner = np.zeros(len(k), bool)
+                within = k + 1 < len(ids)
+                inner[within] = word[k[within]] == word[k[within] + 1]
+                rank[k] = NONE
+                rank[k[inner]] = self.ranks(ids[k[inner]], ids[k[inner] + 1])
+        flat = ids.tolist()
+        ends = np.cumsum(np.bincount(word, minlength=len(short))).tolist()
+        for k, (start, end) in zip(short, zip([0, *ends[:-1]], ends, strict=True), strict=True):
+            out[k] = tuple(flat[start:end])
+        return out
+
+    def decode(self, ids) -> str:
+        ids = np.asarray(ids, np.int64)
+        sizes = self.piece_sizes[ids]
+        shift = np.repeat(self.piece_starts[ids] - (np.cumsum(sizes) - sizes), sizes)
+        return self.piece_bytes[shift + np.arange(len(shift))].tobytes().decode("utf-8", "replace")
 
 
 def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
@@ -173,6 +240,7 @@ class Lexicon:
             at += n
         self.root, self.final, self.keys, self.targets, self.skips, self.starts, self.ids = parts
         self.root = int(self.root[0])
+        self.own = self.ids.tolist()
 
     @classmethod
     def of(cls, block: bytes) -> Lexicon:
@@ -200,7 +268,8 @@ class Lexicon:
             state[on] = np.where(hit, self.targets[at] if len(self.keys) else -1, -1)
             number[on] += self.skips[at] if len(self.keys) else 0
         found = (state >= 0) & (self.final[state] == 1)
-        return [tuple(self.ids[self.starts[n] : self.starts[n + 1]].tolist()) if ok else None for n, ok in zip(number, found, strict=True)]
+        starts, ends = self.starts[np.where(found, number, 0)].tolist(), self.starts[np.where(found, number + 1, 0)].tolist()
+        return [tuple(self.own[a:b]) if ok else None for a, b, ok in zip(starts, ends, found.tolist(), strict=True)]
 
 
 class Encoder:
@@ -208,23 +277,40 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # a word's number; its ids are those from starts[number] on
+        self.starts, self.sizes, self.flat = (np.zeros(0, np.int64) for _ in range(3))
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+            self.forget()
         fresh = list(words - self.known.keys())
         raw = [w.encode("utf-8", "replace") for w in fresh]
-        special, merge = self.vocabulary.special, self.vocabulary.merge
-        for word, own, ids in zip(fresh, raw, self.lexicon.lookup(raw), strict=True):
-            self.known[word] = (special[word],) if word in special else merge(own) if ids is None else ids
+        found = self.lexicon.lookup(raw)
+        unseen = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(unseen, self.vocabulary.merge_all([raw[k] for k in unseen]), strict=True):
+            found[k] = ids
+        for k, word in enumerate(fresh):
+            if word in self.vocabulary.special:
+                found[k] = (self.vocabulary.special[word],)
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.vocabulary.split(t) for t in texts]
-        words: set[str] = set().union(*split)
-        self.learn(words)
-        of = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(of, w)), np.int32) for w in split]
+        self.learn(set().union(*split))
+        out = []
+        for words in split:
+            number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            sizes = self.sizes[number]
+            shift = np.repeat(self.starts[number] - (np.cumsum(sizes) - sizes), sizes)
+            out.append(self.flat[shift + np.arange(len(shift))].astype(np.int32))
+        return out
 
 
 def read_vocabulary(path: str) -> str:
@@ -233,7 +319,7 @@ def read_vocabulary(path: str) -> str:
 
 
 def build_lexicon(docs: DataFrame, text_col: str, vocabulary: str, words: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the `words` most frequent words of all texts (ties by word), special tokens and long words apart."""
+    """The compiled lexicon of the most frequent words of all texts, `words` at most, special tokens, rare and long words apart."""
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +334,19 @@ def build_lexicon(docs: DataFrame, text_col: str, vocabulary: str, words: int =
         yield flush()
 
     counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(words)
+    totals = counts.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") >= LEAST_COUNT) & (F.octet_length("word") <= WORD_BYTES))
+    totals = materialize(totals.withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "word-counts")
+    # From the bins of counts (a few hundred), the least count with which all words from there on fit.
+    left, least = words, 1 << 20
+    for row in sorted(totals.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
+        if row.words > left:
+            break
+        left, least = left - row.words, row.bin
+    top = totals.filter(F.col("bin") >= least)
     model = Vocabulary(vocabulary)
-    found = [row.word for row in top.select("word").collect()]  # bounded by `words`
-    return compile_lexicon({w.encode(): model.merge(w.encode()) for w in found if w not in model.special})
+    found = [row.word for row in top.select("word").collect()]  # at most `words`
+    raw = [w.encode() for w in found if w not in model.special]
+    return compile_lexicon(dict(zip(raw, model.merge_all(raw), strict=True)))
 
 
 def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids", words: int = LEXICON_WORDS) -> DataFrame:
@@ -290,7 +385,7 @@ def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                texts = [model.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in batch.column(batch.num_columns - 1)]
+                texts = [model.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else []) for x in batch.column(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=out.names)
 
     kept = [f for f in rows.schema.fields if f.name != text_col]
