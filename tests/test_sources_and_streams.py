@@ -15,7 +15,7 @@ from gazette.streaming.events import incremental, unseen, weekly
 from gazette.streaming.health import source_health
 
 RSS = """<?xml version="1.0"?><rss><channel><title>t</title>
-<item><title>Direct  Lake is GA</title><link>https://Blog.example/a/?utm_source=x#t</link><description>short</description><guid>g1</guid><pubDate>Tue, 07 Jul 2026 10:00:00 GMT</pubDate><category>b</category><category>a</category></item>
+<item><title>Clear  Lake is GA</title><link>https://Blog.example/a/?utm_source=x#t</link><description>short</description><guid>g1</guid><pubDate>Tue, 07 Jul 2026 10:00:00 GMT</pubDate><category>b</category><category>a</category></item>
 <item><title>No link here</title><description>&lt;p&gt;Some &amp;amp; more&lt;/p&gt;</description><guid>g2</guid></item>
 </channel></rss>"""
 ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">
@@ -49,7 +49,7 @@ def landed(tmp_path, name, text):
 def test_feeds(spark, tmp_path):
     rss = Source("blog", "https://blog.example/feed", "rss")
     got = {r.title: r for r in read_feed(spark, landed(tmp_path, "a.xml", RSS), rss).collect()}
-    first = got["Direct Lake is GA"]
+    first = got["Clear Lake is GA"]
     assert (first.announcement_url, first.published_date, first.date_confidence, first.raw_tags, first.identity.basis) == ("https://blog.example/a", date(2026, 7, 7), "exact", ["a", "b"], "canonical-url")
     second = got["No link here"]
     assert (second.summary, second.published_date, second.identity.basis, second.source_url) == ("Some & more", None, "source-identifier", "https://blog.example/feed")
