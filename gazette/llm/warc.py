@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import materialize, new_path
 
 #: Header fields by ARC version (fixed by the format).
 ARC_FIELDS = {
@@ -168,6 +168,7 @@ def with_revisits(records: DataFrame) -> DataFrame:
     names = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("k"), "page_id", "warc_id", "target", "date")
     firsts = records.filter(F.col("bytes") >= REVISIT_BYTES).groupBy(F.col("digest").alias("of"), F.col("bytes").alias("n"))
     firsts = firsts.agg(F.max(names).alias("to"), F.count("*").alias("copies")).filter("copies > 1")
+    firsts = materialize(firsts, "responses")  # so that its size is known, and payloads are shuffled for it only where it is large
     met = records.join(firsts, (F.col("digest") == F.col("of")) & (F.col("bytes") == F.col("n")), "left")
     return met.withColumn("to", F.when(F.col("to.warc_id") != F.col("warc_id"), F.col("to"))).drop("of", "n", "copies")
 
