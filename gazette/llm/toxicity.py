@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +34,23 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 REMEMBERED = 400_000
 
 
-def features(word: str) -> list[str]:
-    """The word in lower case without the punctuation around it, its beginnings of 4 to 6 characters, its runs of 5."""
+#: Features are numbers below this, hashes of what they are: counts of them take fixed memory.
+HASHED = 1 << 22
+
+
+def features(word: str) -> set[int]:
+    """Of a word in lower case without the punctuation around it: itself, its beginnings of 4 to 6 characters, its runs of 5."""
     w = word.lower().strip(",;:|\"'()[]{}*#$%&<>-")
     if not w:
-        return []
-    return [w, *(f"^{w[:n]}" for n in (4, 5, 6) if len(w) > n), *(f"~{w[k : k + 5]}" for k in range(1, len(w) - 5))]
+        return set()
+    names = [w, *(f"^{w[:n]}" for n in (4, 5, 6) if len(w) > n), *(f"~{w[k : k + 5]}" for k in range(1, len(w) - 5))]
+    return {xxhash.xxh32_intdigest(n.encode("utf-8", "replace")) % HASHED for n in names}
 
 
 class Model:
     """Weights of features, the bias of a sentence; `constant` is the score of every document where there was nothing to learn from."""
 
-    def __init__(self, weights: dict[str, float], bias: float, constant: float | None = None):
+    def __init__(self, weights: dict[int, float], bias: float, constant: float | None = None):
         self.weights, self.bias, self.constant = weights, bias, constant
         self.known: dict[str, float] = {}
 
@@ -55,7 +60,7 @@ class Model:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             get = self.weights.get
-            found = self.known[word] = sum(get(f, 0.0) for f in set(features(word)))
+            found = self.known[word] = sum(get(f, 0.0) for f in features(word))
         return found
 
     def sentences(self, text: str) -> list[float]:
@@ -81,49 +86,63 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, steps:
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0, float(y.mean()) if len(y) else 0.0)
-    bags = [[Counter(f for w in set(s.split()) for f in set(features(w))) for s in SENTENCE.findall(t)] for t in texts]
-    in_docs = [Counter(), Counter()]
+    number_of: dict[str, int] = {}
+    # Of each document, a sentence's number and a word's for each distinct word of a sentence.
+    bags = []
+    for text in texts:
+        pairs = [(k, number_of.setdefault(w, len(number_of))) for k, s in enumerate(SENTENCE.findall(text)) for w in set(s.split())]
+        bags.append(np.array(pairs, np.int32).reshape(-1, 2))
+    of_words = [sorted(features(w)) for w in number_of]
+    flat = np.fromiter((f for fs in of_words for f in fs), np.int32)
+    ends = np.cumsum([0, *map(len, of_words)])
+    del number_of, of_words
+
+    def spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each feature of each of `words`: the place in words, and the feature."""
+        sizes = ends[words + 1] - ends[words]
+        at = np.repeat(np.arange(len(words)), sizes)
+        return at, flat[np.arange(len(at)) + np.repeat(ends[words] - (np.cumsum(sizes) - sizes), sizes)]
+
+    in_docs = np.zeros((2, HASHED), np.int32)
     for bag, label in zip(bags, labels, strict=True):
-        in_docs[label].update(set().union(*bag) if bag else ())
+        in_docs[label, np.unique(spread(np.unique(bag[:, 1]))[1])] += 1
     n0, n1 = np.sum(y == 0), np.sum(y == 1)
-
-    def apart(f: str) -> float:
-        """How far the feature's document frequencies are apart, in standard deviations."""
-        a, b = in_docs[1][f] / n1, in_docs[0][f] / n0
-        both = (in_docs[1][f] + in_docs[0][f]) / (n0 + n1)
-        return abs(a - b) / math.sqrt(max(both * (1 - both), 1e-9) * (1 / n0 + 1 / n1))
-
-    usable = [f for f in in_docs[0].keys() | in_docs[1].keys() if in_docs[0][f] + in_docs[1][f] >= LEAST_DOCS]
-    chosen = sorted((f for f in usable if apart(f) >= LEAST_Z), key=lambda f: (-apart(f), f))[:FEATURES]
-    number = {f: k for k, f in enumerate(chosen)}
-    rows, cols, values, doc_of = [], [], [], []
+    usable = np.flatnonzero(in_docs.sum(axis=0) >= LEAST_DOCS)
+    both = in_docs[:, usable].sum(axis=0) / (n0 + n1)
+    # How far document frequencies are apart, in standard deviations.
+    apart = np.abs(in_docs[1, usable] / n1 - in_docs[0, usable] / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n0 + 1 / n1))
+    order = np.lexsort((usable, -apart))
+    chosen = usable[order[apart[order] >= LEAST_Z][:FEATURES]]
+    number = np.full(HASHED, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    rows, cols, doc_of, n = [], [], [], 0
     for d, bag in enumerate(bags):
-        for sentence in bag or [Counter()]:
-            for f, n in sentence.items():
-                if f in number:
-                    rows.append(len(doc_of))
-                    cols.append(number[f])
-                    values.append(n)
-            doc_of.append(d)
-    rows, cols, values, doc_of = np.array(rows, np.int64), np.array(cols, np.int64), np.array(values, np.float64), np.array(doc_of)
+        at, f = spread(bag[:, 1])
+        known = number[f] >= 0
+        rows.append(n + bag[at[known], 0])
+        cols.append(number[f[known]])
+        sentences = int(bag[:, 0].max(initial=0)) + 1
+        doc_of.append(np.full(sentences, d))
+        n += sentences
+    rows, cols, doc_of = (np.concatenate(x).astype(np.int64) for x in (rows, cols, doc_of))
     share = float(y.mean())
     prior = share if prior is None else min(max(prior, 1e-3), 1 - 1e-3)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
     w, bias = np.zeros(len(chosen)), -math.log(max(len(doc_of) / len(y), 1.0)) - 3.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, steps + 1):
-        x = np.clip(bias + np.bincount(rows, values * w[cols], len(doc_of)), -30, 30)
+        x = np.clip(bias + np.bincount(rows, w[cols], len(doc_of)), -30, 30)
         p = 1 / (1 + np.exp(-x))
         log_none = np.bincount(doc_of, -np.log1p(np.exp(x)), len(y))
         any_p = np.clip(-np.expm1(log_none), 1e-9, 1 - 1e-9)
         # d log-likelihood / d x: label 0 gives -p; label 1 gives p * (1 - P) / P.
         slope = np.where(y == 1, (1 - any_p) / any_p, -1.0) * weight
         g = slope[doc_of] * p
-        grad = np.append(np.bincount(cols, values * g[rows], len(chosen)) / len(y) - decay * w, g.sum() / len(y))
+        grad = np.append(np.bincount(cols, g[rows], len(chosen)) / len(y) - decay * w, g.sum() / len(y))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w + move[:-1], bias + move[-1]
-    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, float(bias))
+    return Model({f: float(x) for f, x in zip(chosen.tolist(), w, strict=True) if abs(x) > 1e-3}, float(bias))
 
 
 def held_out(ident: Column) -> Column:
