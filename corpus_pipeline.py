@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.bpe import decode, encode
-from gazette.llm.common import materialize
+from gazette.llm.common import forget, materialize
 from gazette.llm.content_sort import content_sort
 from gazette.llm.mixing import mixed
 from gazette.llm.quality import quality_kept
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table `documents`; what a stage keeps is written, and deleted once the next has been."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
+            if k:
+                forget(before)
     return docs

@@ -37,10 +37,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/gazette/"
+    own = "/" + shared_dir(spark).partition(":")[2].lstrip("/") + "/gazette/" if ":" in shared_dir(spark) else shared_dir(spark) + "/gazette/"
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if root.partition(":")[2].lstrip("/") in folder or root.lstrip("/") in folder:
+        if own in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -52,13 +52,20 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = ranged.withColumns({p + "rn": F.row_number().over(run), p + "keep": F.first(ident).over(whole), p + "n": F.count("*").over(whole)})
     heads = heads.withColumn(p + "sha", F.sha2(p + "norm", 256))
     drop = [p + "norm", p + "pre", p + "h"]
-    runs = materialize(heads.filter(c["rn"] == 1).drop(*drop) if carry else heads.drop(*drop, text_col), "content-sort")
     first = F.struct((-c["len"]).alias("l"), c["keep"].isNull().alias("z"), c["keep"].alias("k"), c["salt"].alias("s"))
+    if carry:
+        # Nothing is written: the heads of split runs are found by one more pass over the heavy texts, if there are any.
+        one = heads.filter(c["rn"] == 1).drop(*drop)
+        if heavy.isEmpty():
+            return one.select(*quoted(docs.columns))
+        split = keyed.filter(c["salts"].isNotNull()).withColumns({p + "sha": F.sha2(normalised(text), 256), p + "len": F.length(F.coalesce(text, F.lit(""))), p + "keep": ident})
+        split = split.groupBy(p + "sha").agg(F.min(first).alias(p + "best"))
+        merged = one.join(F.broadcast(split), p + "sha", "left")
+        return merged.filter(c["best"].isNull() | (c["best"]["s"] == c["salt"])).select(*quoted(docs.columns))
+    runs = materialize(heads.drop(*drop, text_col), "content-sort")
     split = runs.filter(c["salts"].isNotNull() & (c["rn"] == 1)).groupBy(p + "sha").agg(F.min(first).alias(p + "best"), F.sum(p + "n").alias(p + "all"))
     merged = runs.join(F.broadcast(split), p + "sha", "left")
     kept = (c["rn"] == 1) & (c["best"].isNull() | (c["best"]["s"] == c["salt"]))
-    if carry:
-        return merged.filter(kept).select(*quoted(docs.columns))
     keep_id = F.when(c["best"].isNull(), c["keep"]).otherwise(c["best"]["k"])
     return merged.select(ident.alias("doc_id"), keep_id.alias("keep_id"), F.coalesce(c["all"], c["n"]).alias("group_size"), kept.alias("kept"), c["sha"].alias("text_sha256"))
 

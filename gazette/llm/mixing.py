@@ -3,7 +3,7 @@
 Each row gets a hash-random key; within its source, rows are in order of that key, dealt over ranges of it. A prefix
 sum over the ranges' totals (few rows) and one within each range give every row its place in its source's sequence of
 words, and each source is cut at its exact budget, after as many whole epochs as the budget holds. DataFrame
-operations only. The texts are read once; their sizes are written and all sums run over those.
+operations only. The sizes of texts are written once, and all sums run over those.
 """
 
 from __future__ import annotations
@@ -50,22 +50,26 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry:
     p = prefix(docs)
     ident, text, source = quoted([id_col, text_col, source_col])
     key = F.conv(F.substring(F.md5(F.coalesce(ident.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    own = {p + "size": F.size(words(text)).cast("long"), p + "key": key, p + "source": source}
-    sized = materialize(docs.withColumns(own) if carry else docs.select(ident, *[v.alias(k) for k, v in own.items()]), "sizes")
-    rows, bits = sized.count(), 4
+    # A source as a key that is never null, in the same order; so the window and the join below need one and the same shuffle.
+    named = F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
+    own = {p + "size": F.size(words(text)).cast("long"), p + "key": key, p + "source": named}
+    small = materialize(docs.select(ident, *[v.alias(k) for k, v in own.items()]), "sizes")
+    rows, bits = small.count(), 4
     while bits < 24 and rows >> bits > RANGE_ROWS:
         bits += 1
-    sized = sized.withColumn(p + "range", F.shiftright(p + "key", 60 - bits))
-    targets = source_targets(sized, p + "source", p + "size", **kw)
-    sums = sized.groupBy(F.col(p + "source").alias(p + "s"), F.col(p + "range").alias(p + "r")).agg(F.sum(p + "size").alias(p + "before"))
+    ranged = lambda df: df.withColumn(p + "range", F.shiftright(p + "key", 60 - bits))
+    small = ranged(small)
+    sized = ranged(docs.withColumns(own)) if carry else small  # texts are read again where they are carried, and never written
+    targets = source_targets(small, p + "source", p + "size", **kw)
+    sums = small.groupBy(F.col(p + "source").alias(p + "s"), F.col(p + "range").alias(p + "r")).agg(F.sum(p + "size").alias(p + "before"))
     upto = Window.partitionBy(p + "s").orderBy(p + "r").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn(p + "before", F.coalesce(F.sum(p + "before").over(upto), F.lit(0)))
-    offsets = sums.join(targets, F.col(p + "s").eqNullSafe(F.col("source"))).select(
+    offsets = sums.join(targets, F.col(p + "s") == F.col("source")).select(
         p + "s", p + "r", p + "before", F.col("source_size").alias(p + "source_size"), F.col("target").alias(p + "target")
     )
     inside = Window.partitionBy(p + "source", p + "range").orderBy(p + "key", ident, p + "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn(p + "inside", F.coalesce(F.sum(p + "size").over(inside), F.lit(0)))
-    placed = placed.join(offsets, F.col(p + "source").eqNullSafe(F.col(p + "s")) & (F.col(p + "range") == F.col(p + "r")))
+    placed = placed.join(offsets, (F.col(p + "source") == F.col(p + "s")) & (F.col(p + "range") == F.col(p + "r")))
     size, all_words, budget = F.col(p + "size"), F.col(p + "source_size"), F.floor(p + "target")
     epochs = F.when(all_words > 0, F.floor(budget / F.greatest(all_words, F.lit(1)))).otherwise(0)
     rest = budget - epochs * all_words - F.col(p + "before") - F.col(p + "inside")

@@ -140,9 +140,8 @@ def _step(rows: DataFrame, est: DataFrame, p: str) -> DataFrame:
     return _cholesky(est, p)
 
 
-def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[Column], steps: int) -> tuple[DataFrame, str]:
-    """The columns `keep` of docs, with statistics, base_failed, d2 (null where the base rules failed) and kept, under the prefix returned."""
-    p = prefix(docs)
+def _described(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[Column], p: str) -> DataFrame:
+    """The columns `keep` of docs with statistics, base_failed and vector, named with p."""
     text, lang, source = quoted([text_col, lang_col, source_col])
     rows = docs.select(*keep, lang.alias(p + "lang"), source.alias(p + "source"), statistics(text).alias(p + "s"))
     names = {"n_words": "w.n", "n_repeat_words": "w.r", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_lines": "l.n", "n_dup_lines": "l.d"}
@@ -150,9 +149,11 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep
     failed = (F.col(p + "n_words") < 20) | (100 * F.col(p + "n_repeat_words") > 30 * F.col(p + "n_words"))
     rows = rows.withColumn(p + "base_failed", failed)
     parts = vector(*[F.col(p + c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")])
-    rows = rows.withColumns({f"{p}x{i}": c for i, c in enumerate(parts.values())})
-    rows = materialize(rows, "quality")
+    return rows.withColumns({f"{p}x{i}": c for i, c in enumerate(parts.values())})
+
 
+def _estimates(rows: DataFrame, p: str, steps: int) -> tuple[DataFrame, DataFrame]:
+    """Of described rows: which estimate each language and source has, and the estimates."""
     good = rows.filter(~F.col(p + "base_failed"))
     sizes = good.groupBy(F.col(p + "lang").alias(p + "l"), F.col(p + "source").alias(p + "r")).agg(F.count("*").alias(p + "n"))
     sizes = sizes.withColumn(p + "of_lang", F.sum(p + "n").over(Window.partitionBy(p + "l")))
@@ -160,15 +161,23 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep
     part = lambda c, least: F.when(level >= least, F.concat(F.coalesce(F.length(c), F.lit(-1)), F.lit(":"), F.coalesce(c, F.lit("")))).otherwise("")
     groups = sizes.select(p + "l", p + "r", F.concat_ws("/", level.cast("string"), part(F.col(p + "l"), 1), part(F.col(p + "r"), 2)).alias(p + "g"))
     groups = materialize(groups, "quality-groups")
-    in_group = F.col(p + "lang").eqNullSafe(F.col(p + "l")) & F.col(p + "source").eqNullSafe(F.col(p + "r"))
-    vectors = good.select(p + "lang", p + "source", *[f"{p}x{i}" for i in D]).join(groups, in_group)
+    vectors = good.select(p + "lang", p + "source", *[f"{p}x{i}" for i in D]).join(groups, _in_group(p))
     est = materialize(_start(vectors, p), "quality-start")
     for _ in range(steps):
         est = materialize(_step(vectors, est, p), "quality-step")
+    return groups, est
+
+
+def _in_group(p: str) -> Column:
+    return F.col(p + "lang").eqNullSafe(F.col(p + "l")) & F.col(p + "source").eqNullSafe(F.col(p + "r"))
+
+
+def _judged(rows: DataFrame, groups: DataFrame, est: DataFrame, p: str) -> DataFrame:
+    """Described rows with d2 (null where the base rules failed) and kept."""
     # A row of a group in which no row passed the base rules has failed them too, so it needs no estimate.
-    rows = _with_distance(rows.join(groups, in_group, "left"), est, p)
+    rows = _with_distance(rows.join(groups, _in_group(p), "left"), est, p)
     d2 = F.when(~F.col(p + "base_failed"), F.col(p + "d2"))
-    return rows.withColumns({p + "d2": d2, p + "kept": F.coalesce(d2 <= CUTOFF, F.lit(False))}), p
+    return rows.withColumns({p + "d2": d2, p + "kept": F.coalesce(d2 <= CUTOFF, F.lit(False))})
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", steps: int = STEPS) -> DataFrame:
@@ -178,12 +187,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that repeat are judged alike; extra columns are ignored; no rows give no rows.
     """
     ident = F.col(f"`{id_col}`")
-    rows, p = _judged(docs, text_col, lang_col, source_col, [ident], steps)
+    p = prefix(docs)
+    rows = materialize(_described(docs, text_col, lang_col, source_col, [ident], p), "quality")
+    rows = _judged(rows, *_estimates(rows, p, steps), p)
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select(ident.alias("doc_id"), *[F.col(p + c).alias(c) for c in longs], F.col(p + "base_failed").alias("base_failed"), F.col(p + "kept").alias("kept"), F.sqrt(p + "d2").alias("distance"))
 
 
 def quality_kept(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", steps: int = STEPS) -> DataFrame:
-    """The rows of docs that quality_rules() keeps, in docs' columns. The texts are written once with their statistics, and read again for those kept."""
-    rows, p = _judged(docs, text_col, lang_col, source_col, quoted(docs.columns), steps)
+    """The rows of docs that quality_rules() keeps, in docs' columns. Texts are read twice, for the estimates and for the verdicts, and never written."""
+    p = prefix(docs)
+    vectors = [p + "lang", p + "source", p + "base_failed", *[f"{p}x{i}" for i in D]]
+    small = materialize(_described(docs, text_col, lang_col, source_col, [], p).select(*vectors), "quality")
+    groups, est = _estimates(small, p, steps)
+    rows = _judged(_described(docs, text_col, lang_col, source_col, quoted(docs.columns), p), groups, est, p)
     return rows.filter(p + "kept").select(*quoted(docs.columns))

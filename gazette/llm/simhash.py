@@ -198,10 +198,15 @@ def _grouped(fps: DataFrame, fp: str) -> DataFrame:
 
 
 def simhash_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which simhash_groups() names the identifier as its component's, in docs' columns; a row with a null identifier stays."""
+    """The rows of docs of which simhash_groups() names the identifier as its component's, in docs' columns; a row with a null identifier stays.
+
+    Rows that go are told by identifier and a hash of the text, so texts are read twice and never written.
+    """
     p = prefix(docs)
-    rows = materialize(with_fingerprints(docs, text_col, p + "fp"), "simhash-rows")
-    fps = rows.select(F.col(f"`{id_col}`").alias("doc_id"), p + "fp")
-    gone = _grouped(fps, p + "fp").filter("doc_id <> least").select(F.col("doc_id").alias(p + "gone"), F.col("point").alias(p + "point")).distinct()
-    kept = rows.join(gone, (rows[id_col] == gone[p + "gone"]) & (rows[p + "fp"] == gone[p + "point"]), "left_anti")
-    return kept.select(*quoted(docs.columns))
+    ident = F.col(f"`{id_col}`")
+    mark = F.xxhash64(F.col(f"`{text_col}`"))
+    fps = with_fingerprints(docs.select(ident, F.col(f"`{text_col}`"), mark.alias(p + "mark")), text_col, p + "fp")
+    fps = materialize(fps.select(ident.alias("doc_id"), p + "mark", p + "fp"), "simhash")
+    gone = _grouped(fps, p + "fp").filter("doc_id <> least").select(F.col("doc_id").alias(p + "gone"), F.col(p + "mark").alias(p + "of")).distinct()
+    gone = materialize(gone, "simhash-gone")  # so that its size is known, and the texts are shuffled only where it is large
+    return docs.join(gone, (ident == F.col(p + "gone")) & (mark == F.col(p + "of")), "left_anti")
