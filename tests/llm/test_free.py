@@ -339,6 +339,32 @@ def test_paragraph_groups_are_brute_force(spark):
     assert substring.paragraph_groups(empty(spark)).count() == 0
 
 
+def found_together(spark, texts, spans):
+    """Whether each span (document, start, end) lies within an occurrence of one component."""
+    rows = substring.paragraph_groups(docs(spark, [(t,) for t in texts])).collect()
+    over = [{(r.keep_doc_id, r.keep_start) for r in rows if r.doc_id == d and r.start <= a and r.end >= b} for d, a, b in spans]
+    return bool(set.intersection(*over))
+
+
+def test_changed_paragraphs_are_found_whole(spark):
+    words = prose(31, 60).split()
+    changed = " ".join([*words[:30], "changed", *words[31:]])
+    lone = prose(32, 70)
+    wrapped = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    block, other = prose(33, 64).split(), prose(33, 64).split()
+    other[20] = "changed"
+    texts = [f"{prose(34)}\n{' '.join(words)}", f"{changed}\n{prose(35)}", lone, f"{prose(36)}\n\n{wrapped(block, 5)}", f"{wrapped(other, 8)}\n\n{prose(37)}"]
+    assert found_together(spark, texts, [(0, texts[0].index(words[0]), len(texts[0])), (1, 0, len(changed))])
+    assert found_together(spark, texts, [(3, texts[3].index("\n\n") + 2, len(texts[3])), (4, 0, texts[4].index("\n\n"))])
+    assert not [r for r in substring.paragraph_groups(docs(spark, [(t,) for t in [lone, prose(38, 9), prose(39, 300)]])).collect()]
+
+
+def test_a_piece_of_a_line_is_no_copy_of_it(spark):
+    line = " ".join(["same"] * 40)
+    rows = substring.paragraph_groups(docs(spark, [(f"{line}\n\n{line} end",)])).collect()
+    assert all(not (a.start <= b.start and b.end <= a.end and a != b and a.keep_start == b.keep_start) for a in rows for b in rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.frozensets(st.integers(0, 12), min_size=1, max_size=9), max_size=14))
 def test_similar_joins_what_is_similar(sets):
