@@ -365,6 +365,31 @@ def test_a_piece_of_a_line_is_no_copy_of_it(spark):
     assert all(not (a.start <= b.start and b.end <= a.end and a != b and a.keep_start == b.keep_start) for a in rows for b in rows)
 
 
+def test_every_word_is_in_a_piece_however_it_is_wrapped():
+    for n in range(7, 130):
+        words = prose(n, n).split()
+        spans = []
+        for width in (1, 4, 9, 200):
+            text = "\n".join(" ".join(words[k : k + width]) for k in range(0, n, width))
+            got = substring.Paragraphs([b"a b", text.encode(), b"", b"c d e f g"])
+            assert set(got.doc.tolist()) == {1} and (got.last - got.first >= substring.LEAST_WORDS).all()
+            spans.append(set(zip((got.first - 2).tolist(), (got.last - 2).tolist(), strict=True)))
+        assert {k for a, b in spans[0] for k in range(a, b)} == set(range(n))
+        assert all(spans[0] <= s for s in spans)
+
+
+def test_wrapped_passages_and_short_lines_are_found(spark):
+    passage = prose(41, 60).split()
+    wrapped = lambda n: "\n".join(" ".join(passage[k : k + n]) for k in range(0, 60, n))
+    lines = [prose(42 + k, 7 + k) for k in range(6)]
+    texts = [wrapped(4), wrapped(6), *("\n".join([prose(50 + j), *lines, prose(60 + j)]) for j in range(2))]
+    rows = substring.paragraph_groups(docs(spark, [(t,) for t in texts])).collect()
+    for d in (0, 1):
+        covered = {k for r in rows if r.doc_id == d for k in range(r.start, r.end)}
+        assert covered >= {k for k, c in enumerate(texts[d]) if not c.isspace()}
+    assert all(any(r.removed and r.doc_id == 3 and texts[3][r.start : r.end] == line for r in rows) for line in lines)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.frozensets(st.integers(0, 12), min_size=1, max_size=9), max_size=14))
 def test_similar_joins_what_is_similar(sets):
