@@ -158,14 +158,18 @@ def _estimates(rows: DataFrame, p: str, steps: int) -> tuple[DataFrame, DataFram
     sizes = good.groupBy(F.col(p + "lang").alias(p + "l"), F.col(p + "source").alias(p + "r")).agg(F.count("*").alias(p + "n"))
     sizes = sizes.withColumn(p + "of_lang", F.sum(p + "n").over(Window.partitionBy(p + "l")))
     level = F.when(F.col(p + "n") >= LEAST_ROWS, 2).when(F.col(p + "of_lang") >= LEAST_ROWS, 1).otherwise(0)
-    part = lambda c, least: F.when(level >= least, F.concat(F.coalesce(F.length(c), F.lit(-1)), F.lit(":"), F.coalesce(c, F.lit("")))).otherwise("")
-    groups = sizes.select(p + "l", p + "r", F.concat_ws("/", level.cast("string"), part(F.col(p + "l"), 1), part(F.col(p + "r"), 2)).alias(p + "g"))
-    groups = materialize(groups, "quality-groups")
-    vectors = good.select(p + "lang", p + "source", *[f"{p}x{i}" for i in D]).join(groups, _in_group(p))
+    part = lambda c: F.concat(F.coalesce(F.length(c), F.lit(-1)), F.lit(":"), F.coalesce(c, F.lit("")))
+    lang, source = part(F.col(p + "l")), part(F.col(p + "r"))
+    names = F.array(F.lit("0//"), F.concat(F.lit("1/"), lang, F.lit("/")), F.concat(F.lit("2/"), lang, F.lit("/"), source))
+    groups = materialize(sizes.select(p + "l", p + "r", F.get(names, level).alias(p + "g"), names.alias(p + "all_g")), "quality-groups")
+    # All good rows of a language, and all good rows, are what the estimates used for small groups rest on.
+    used = groups.select(p + "g").distinct()
+    shares = groups.select(p + "l", p + "r", F.explode(p + "all_g").alias(p + "g")).join(used, p + "g", "left_semi")
+    vectors = good.select(p + "lang", p + "source", *[f"{p}x{i}" for i in D]).join(shares, _in_group(p))
     est = materialize(_start(vectors, p), "quality-start")
     for _ in range(steps):
         est = materialize(_step(vectors, est, p), "quality-step")
-    return groups, est
+    return groups.drop(p + "all_g"), est
 
 
 def _in_group(p: str) -> Column:

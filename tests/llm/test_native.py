@@ -67,6 +67,14 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert all(kept[k] for k in range(500)) and not any(kept[1000 + k] for k in range(30))
 
 
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    odd = lambda k: " ".join(w + "***" for w in prose(k).split())
+    rows = [(k, prose(k), "en", "src0") for k in range(400)] + [(1000 + k, odd(k), "en", "rare") for k in range(20)] + [(2000, odd(50), "fr", "src0"), (2001, prose(51), "fr", "src0")]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[k] for k in range(400)) and kept[2001]
+    assert not any(kept[1000 + k] for k in range(20)) and not kept[2000]
+
+
 def test_quality_kept_has_the_rows_and_columns_of_docs(spark, hard):
     df = clashing(hard.unionByName(docs(spark, [(prose(k),) for k in range(40)])))
     kept = quality.quality_kept(df)
