@@ -2,32 +2,36 @@
 
 The words of all documents are counted, and the most frequent, with the ids that BPE gives them, are compiled into a
 minimal acyclic transducer: an automaton whose words share prefixes and suffixes, and whose edges carry how many words
-they pass over, so that a path's sum is its word's number and leads to its ids. Workers map the compiled file into
-memory, look words up many at a time, and merge exactly those that are not in it.
+they pass over, so that a path's sum is its word's number and leads to its ids. The compiled file goes to each
+executor once; its workers map it into memory, read ids from the map, look words up many at a time, and merge exactly
+those that are not in it. Texts are encoded, and decoded again, a few megabytes at a time in one worker, and a text of
+any length in blocks of its words, so that memory does not grow with how many or how long the texts are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, prefix
+from .common import forget, materialize, new_path, prefix, text_groups, write_bytes
 
-#: How byte-level BPE splits a text before merging (fixed by the vocabulary).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How byte-level BPE splits a text before merging (fixed by the vocabulary). No two alternatives but the last four begin alike, so letters, the commonest, come first.
+PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that the regex module knows as letters or numbers and the library does not yet: first, last (fixed values).
 NEWER = (
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
@@ -42,14 +46,17 @@ NEWER = (
 _NEWER = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]"
 #: PATTERN with those neither letters nor numbers; it is slower, and for texts that have one.
 CAREFUL = "(?V1)" + PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{_NEWER}]").replace(r"\p{L}+", rf"[\p{{L}}--{_NEWER}]+").replace(r"\p{N}+", rf"[\p{{N}}--{_NEWER}]+")
-#: Words that the lexicon holds at most, and bytes of one: what is broadcast stays below 10 MB.
+#: The characters below U+0100 that are letters, numbers and white space, for a pattern of the standard library's, which is faster where texts have no others.
+_LATIN = {p: "".join(f"\\x{ord(c):02x}" for c in regex.findall(rf"\{p}", "".join(map(chr, range(256))))) for p in ("p{L}", "p{N}", "s")}
+LATIN = PATTERN.replace(r"[^\s\p{L}\p{N}]", "[^" + "".join(_LATIN.values()) + "]").replace(r"\S", rf"[^{_LATIN['s']}]").replace(r"\p{L}", f"[{_LATIN['p{L}']}]").replace(r"\p{N}", f"[{_LATIN['p{N}']}]").replace(r"\s", f"[{_LATIN['s']}]")
+#: Words that the lexicon holds at most, and bytes of one: the compiled file stays below 10 MB.
 LEXICON_WORDS, WORD_BYTES = 131_072, 32
 #: Words of fewer occurrences in all are never in the lexicon.
 LEAST_COUNT = 4
 #: Distinct words that a worker counts before it passes them on, and that it remembers.
-COUNTED, REMEMBERED = 400_000, 400_000
-#: Rows encoded together.
-ROWS = 1_024
+COUNTED, REMEMBERED = 400_000, 300_000
+#: Bytes of texts encoded together (one text at least), and words of a text handled at a time.
+GROUP_BYTES, BLOCK_WORDS = 1 << 20, 1 << 18
 #: The rank of a pair that does not merge.
 NONE = np.iinfo(np.int64).max
 
@@ -72,14 +79,13 @@ class Vocabulary:
         pieces: dict[int, bytes] = {v: k for k, v in ids.items()}
         self.single = [ids[bytes([b])] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(pairs):
-            a, b = raw(a), raw(b)
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
-        order = sorted((a * len(ids) + b, rank) for (a, b), (rank, _) in self.merges.items())
         self.ids, self.first = len(ids), np.array(self.single, np.int64)
-        self.pair_keys, self.pair_ranks = (np.array([x[k] for x in order], np.int64) for k in (0, 1))
-        self.merged = np.array([to for _, to in sorted(self.merges.values())], np.int64)
+        sides = [(raw(a), raw(b)) for a, b in pairs]
+        keys = np.array([ids[a] * self.ids + ids[b] for a, b in sides], np.int64)
+        self.merged = np.array([ids[a + b] for a, b in sides], np.int64)  # by rank
+        self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.pair_ranks = np.argsort(keys, kind="stable")
+        self.pair_keys = keys[self.pair_ranks]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         pieces |= {v: k.encode() for k, v in self.special.items()}
         every = [pieces.get(k, b"") for k in range(max(pieces) + 1)]
@@ -87,38 +93,54 @@ class Vocabulary:
         self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
         self.piece_bytes = np.frombuffer(b"".join(every), np.uint8)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.plain, self.careful = regex.compile(PATTERN).findall, regex.compile(CAREFUL).findall
-        self.high, self.newer = regex.compile(rf"[^\x00-{chr(NEWER[0][0] - 1)}]").search, regex.compile(_NEWER).search
+        self.latin, self.plain, self.careful = re.compile(LATIN), regex.compile(PATTERN), regex.compile(CAREFUL)
+        self.beyond, self.newer = re.compile(r"[^\x00-\xff]").search, regex.compile(_NEWER).search
 
-    def words(self, text: str) -> list[str]:
-        return self.careful(text) if self.high(text) and self.newer(text) else self.plain(text)
+    def pattern(self, text: str):
+        """What splits this text."""
+        if not self.beyond(text):
+            return self.latin
+        return self.careful if self.newer(text) else self.plain
 
     def split(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
         if self.cut is None or not self.cut.search(text):
-            return self.words(text)
-        return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.words(part))]
-
-    def merge(self, word: bytes) -> tuple[int, ...]:
+            return self.pattern(text).findall(text)
+        return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.pattern(part).findall(part))]
+
+    def blocks(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """All words of `texts` in order, and how many each text has of them: one block, or for a single long text as many as its length needs."""
+        if len(texts) > 1 or len(texts[0]) <= GROUP_BYTES:
+            split = [self.split(t) for t in texts]
+            yield list(chain.from_iterable(split)), np.fromiter(map(len, split), np.int64, len(split))
+            return
+        parts = self.cut.split(texts[0]) if self.cut else texts
+        words = chain.from_iterable([part] if k % 2 else (m[0] for m in self.pattern(part).finditer(part)) for k, part in enumerate(parts))
+        while block := list(islice(words, BLOCK_WORDS)):
+            yield block, np.array([len(block)])
+
+    def merge(self, word: bytes) -> list[int]:
         """The ids of one word: of its pairs, that of least rank, then the leftmost, is merged until none has a rank. n log n in its length."""
-        ids, get = [self.single[b] for b in word], self.merges.get
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], k, ids[k], ids[k + 1]) for k in range(n - 1) if (found := get((ids[k], ids[k + 1])))]
+        ids, n, get = array("i", (self.single[b] for b in word)), len(word), self.rank_of.get
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        rank = lambda k: get(ids[k] * self.ids + ids[after[k]]) if after[k] < n else None
+        # A rank and a place in one number; a place's pair may have changed since.
+        heap = [found << 40 | k for k in range(n - 1) if (found := rank(k)) is not None]
         heapify(heap)
         while heap:
-            _, k, a, b = heappop(heap)
+            top = heappop(heap)
+            k = top & (1 << 40) - 1
+            if ids[k] < 0 or rank(k) != top >> 40:
+                continue
             j = after[k]
-            if ids[k] != a or j >= n or ids[j] != b:
-                continue  # one of the two is merged already
-            ids[k], ids[j] = get((a, b))[1], -1
+            ids[k], ids[j] = int(self.merged[top >> 40]), -1
             after[k] = after[j]
             if after[j] < n:
                 before[after[j]] = k
             for i in (before[k], k):
-                if i >= 0 and after[i] < n and (found := get((ids[i], ids[after[i]]))):
-                    heappush(heap, (found[0], i, ids[i], ids[after[i]]))
-        return tuple(i for i in ids if i >= 0)
+                if i >= 0 and (found := rank(i)) is not None:
+                    heappush(heap, found << 40 | i)
+        return [i for i in ids if i >= 0]
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids, NONE where they do not merge."""
@@ -126,18 +148,30 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
-    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """merge() of each word; all but long words take a step at a time together."""
-        out: list[tuple[int, ...]] = [()] * len(words)
-        short = [k for k, w in enumerate(words) if 0 < len(w) <= WORD_BYTES]
-        for k, w in enumerate(words):
-            if len(w) > WORD_BYTES:
-                out[k] = self.merge(w)
-        if not short:
-            return out
-        sizes = np.fromiter((len(words[k]) for k in short), np.int64, len(short))
-        ids = self.first[np.frombuffer(b"".join(words[k] for k in short), np.uint8)]
-        word = np.repeat(np.arange(len(short)), sizes)
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of each word, one after another, and how many ids each has; all but long words take a step at a time together."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero((lengths > 0) & (lengths <= WORD_BYTES)).tolist()
+        long = {k: self.merge(words[k]) for k in np.flatnonzero(lengths > WORD_BYTES).tolist()}
+        counts = np.zeros(len(words), np.int64)
+        ids, word = self._merge_short([words[k] for k in short])
+        counts[short] = np.bincount(word, minlength=len(short))
+        if not long:
+            return ids, counts
+        counts[list(long)] = [len(x) for x in long.values()]
+        starts, out = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int64)
+        inner = counts[short]
+        out[np.repeat(starts[short] - (np.cumsum(inner) - inner), inner) + np.arange(len(ids))] = ids
+        for k, x in long.items():
+            out[starts[k] : starts[k] + len(x)] = x
+        return out, counts
+
+    def _merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and of each id which word it is of."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         rank = np.full(len(ids), NONE)
         inner = np.flatnonzero(word[1:] == word[:-1])
         rank[inner] = self.ranks(ids[inner], ids[inner + 1])
@@ -158,11 +192,7 @@ class Vocabulary:
                 inner[within] = word[k[within]] == word[k[within] + 1]
                 rank[k] = NONE
                 rank[k[inner]] = self.ranks(ids[k[inner]], ids[k[inner] + 1])
-        flat = ids.tolist()
-        ends = np.cumsum(np.bincount(word, minlength=len(short))).tolist()
-        for k, (start, end) in zip(short, zip([0, *ends[:-1]], ends, strict=True), strict=True):
-            out[k] = tuple(flat[start:end])
-        return out
+        return ids, word
 
     def decode(self, ids) -> str:
         ids = np.asarray(ids, np.int64)
@@ -171,6 +201,12 @@ class Vocabulary:
         return self.piece_bytes[shift + np.arange(len(shift))].tobytes().decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def vocabulary_of(text: str) -> Vocabulary:
+    """The vocabulary of a file's text, made once in a process."""
+    return Vocabulary(text)
+
+
 def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
     """The minimal acyclic transducer from words to ids, as one block of bytes that Lexicon maps."""
     register: dict[tuple, int] = {}
@@ -240,21 +276,9 @@ class Lexicon:
             at += n
         self.root, self.final, self.keys, self.targets, self.skips, self.starts, self.ids = parts
         self.root = int(self.root[0])
-        self.own = self.ids.tolist()
-
-    @classmethod
-    def of(cls, block: bytes) -> Lexicon:
-        """Map `block` from a file of this machine's temporary folder, which goes with the process that maps it."""
-        handle, path = tempfile.mkstemp()
-        try:
-            with os.fdopen(handle, "wb") as f:
-                f.write(block)
-            return cls(path)
-        finally:
-            os.unlink(path)
-
-    def lookup(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """The ids of each word, None where it is not in the lexicon; all words take a step at a time."""
+
+    def lookup(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 where it is not in the lexicon; all words take a step at a time. A word's ids are ids[starts[number] : starts[number + 1]]."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes) - sizes
         text = np.frombuffer(b"".join(words), np.uint8)
@@ -268,8 +292,30 @@ class Lexicon:
             state[on] = np.where(hit, self.targets[at] if len(self.keys) else -1, -1)
             number[on] += self.skips[at] if len(self.keys) else 0
         found = (state >= 0) & (self.final[state] == 1)
-        starts, ends = self.starts[np.where(found, number, 0)].tolist(), self.starts[np.where(found, number + 1, 0)].tolist()
-        return [tuple(self.own[a:b]) if ok else None for a, b, ok in zip(starts, ends, found.tolist(), strict=True)]
+        return np.where(found, number, -1)
+
+
+@lru_cache(maxsize=1)
+def lexicon_of(name: str) -> Lexicon:
+    """The lexicon that ship_lexicon() sent to this executor under `name`, mapped once in a process."""
+    return Lexicon(SparkFiles.get(name))
+
+
+class _Numbers(dict):
+    """Words to numbers; a word that is new gets the next."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each start and size, one after another."""
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
 class Encoder:
@@ -280,37 +326,46 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}  # a word's number; its ids are those from starts[number] on
-        self.starts, self.sizes, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+        self.known = _Numbers()  # a word's number; its ids are those from starts[number] on
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.forget()
-        fresh = list(words - self.known.keys())
+    def learn(self) -> None:
+        """Ids of the words that got a number since the last time."""
+        fresh, self.known.fresh = self.known.fresh, []
         raw = [w.encode("utf-8", "replace") for w in fresh]
-        found = self.lexicon.lookup(raw)
-        unseen = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(unseen, self.vocabulary.merge_all([raw[k] for k in unseen]), strict=True):
-            found[k] = ids
-        for k, word in enumerate(fresh):
-            if word in self.vocabulary.special:
-                found[k] = (self.vocabulary.special[word],)
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.vocabulary.split(t) for t in texts]
-        self.learn(set().union(*split))
-        out = []
-        for words in split:
+        number = self.lexicon.lookup(raw)
+        special = self.vocabulary.special
+        if special:
+            number[[k for k, w in enumerate(fresh) if w in special]] = -2
+        seen, unseen = np.flatnonzero(number >= 0), np.flatnonzero(number == -1)
+        sizes = np.ones(len(fresh), np.int64)
+        sizes[seen] = self.lexicon.starts[number[seen] + 1] - self.lexicon.starts[number[seen]]
+        merged, sizes[unseen] = self.vocabulary.merge_all([raw[k] for k in unseen])
+        tokens = [special[fresh[k]] for k in np.flatnonzero(number == -2)]
+        starts = np.zeros(len(fresh), np.int64)
+        at = len(self.flat)
+        for k in (seen, unseen, np.flatnonzero(number == -2)):
+            starts[k] = at + np.cumsum(sizes[k]) - sizes[k]
+            at += int(sizes[k].sum())
+        found = _gather(self.lexicon.ids, self.lexicon.starts[number[seen]].astype(np.int64), sizes[seen])
+        self.flat = np.concatenate((self.flat, found, merged.astype(np.int32), np.array(tokens, np.int32)))
+        self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        values, counts = [], np.zeros(len(texts), np.int64)
+        for words, of_text in self.vocabulary.blocks(texts):
+            if len(self.known) > REMEMBERED:
+                self.forget()
             number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            if self.known.fresh:
+                self.learn()
             sizes = self.sizes[number]
-            shift = np.repeat(self.starts[number] - (np.cumsum(sizes) - sizes), sizes)
-            out.append(self.flat[shift + np.arange(len(shift))].astype(np.int32))
-        return out
+            values.append(_gather(self.flat, self.starts[number], sizes))
+            upto = np.concatenate(([0], np.cumsum(sizes)))
+            ends = np.cumsum(of_text)
+            counts += upto[ends] - upto[ends - of_text]
+        return np.concatenate([np.zeros(0, np.int32), *values]), counts
 
 
 def read_vocabulary(path: str) -> str:
@@ -323,18 +378,19 @@ def build_lexicon(docs: DataFrame, text_col: str, vocabulary: str, words: int =
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Vocabulary(spec.value).split, Counter()
+        model, seen = vocabulary_of(spec.value), Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(split(text.as_py() or ""))
-                if len(seen) > COUNTED:
-                    yield flush()
-                    seen.clear()
+            for at, n in text_groups(batch.column(0), GROUP_BYTES):
+                for found, _ in model.blocks([x or "" for x in batch.column(0)[at : at + n].to_pylist()]):
+                    seen.update(found)
+                    if len(seen) > COUNTED:
+                        yield flush()
+                        seen.clear()
         yield flush()
 
     counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    totals = counts.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") >= LEAST_COUNT) & (F.octet_length("word") <= WORD_BYTES))
+    totals = counts.filter(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
     totals = materialize(totals.withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "word-counts")
     # From the bins of counts (a few hundred), the least count with which all words from there on fit.
     left, least = words, 1 << 20
@@ -342,37 +398,54 @@ def build_lexicon(docs: DataFrame, text_col: str, vocabulary: str, words: int =
         if row.words > left:
             break
         left, least = left - row.words, row.bin
-    top = totals.filter(F.col("bin") >= least)
-    model = Vocabulary(vocabulary)
-    found = [row.word for row in top.select("word").collect()]  # at most `words`
+    found = [row.word for row in totals.filter(F.col("bin") >= least).select("word").collect()]  # at most `words`
+    forget(totals)
+    model = vocabulary_of(vocabulary)
     raw = [w.encode() for w in found if w not in model.special]
-    return compile_lexicon(dict(zip(raw, model.merge_all(raw), strict=True)))
+    ids, sizes = model.merge_all(raw)
+    ends = np.cumsum(sizes).tolist()
+    flat = ids.tolist()
+    return compile_lexicon({w: tuple(flat[a:b]) for w, a, b in zip(raw, [0, *ends], ends)})
 
 
-def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids", words: int = LEXICON_WORDS) -> DataFrame:
+def ship_lexicon(spark: SparkSession, block: bytes) -> str:
+    """Send a compiled lexicon to every executor, once each, under a name by its digest; the name."""
+    name = f"lexicon-{hashlib.sha256(block).hexdigest()[:32]}"
+    if not any(f.endswith("/" + name) for f in spark.sparkContext.listFiles):
+        path = f"{new_path(spark, 'lexicon')}/{name}"
+        write_bytes(spark, path, block)
+        spark.sparkContext.addFile(path)
+    return name
+
+
+def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids", words: int = LEXICON_WORDS, decoded_col: str | None = None) -> DataFrame:
     """docs with `ids_col`, the ids of each whole text (array of int), as the tokenizers library gives them without added tokens.
 
-    The strings of special tokens are those tokens, as there. Null text is empty and has no ids. The vocabulary's path
-    is read on the driver. A column of docs named `ids_col` is replaced; others are passed on. No rows give no rows.
+    With decoded_col, that column holds what decode() makes of the ids, in the same pass. The strings of special tokens
+    are those tokens, as there. Null text is empty and has no ids. The vocabulary's path is read on the driver. Columns of
+    docs named `ids_col` or decoded_col are replaced; others are passed on. No rows give no rows.
     """
     vocabulary = read_vocabulary(vocabulary_path)
-    sc = docs.sparkSession.sparkContext
-    spec, block = sc.broadcast(vocabulary), sc.broadcast(build_lexicon(docs, text_col, vocabulary, words))
+    spec = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    name = ship_lexicon(docs.sparkSession, build_lexicon(docs, text_col, vocabulary, words))
     p = prefix(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(spec.value), Lexicon.of(block.value))
+        model = vocabulary_of(spec.value)
+        encoder = Encoder(model, lexicon_of(name))
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                *rest, texts = batch.columns
-                ids = encoder.encode([x or "" for x in texts.to_pylist()])
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                values = np.concatenate([np.zeros(0, np.int32), *ids])
-                yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=out.names)
-
-    kept = [f for f in docs.schema.fields if f.name != ids_col]
-    out = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+            for at, n in text_groups(whole.column(whole.num_columns - 1), GROUP_BYTES):
+                *rest, texts = whole.slice(at, n).columns
+                values, counts = encoder.encode([x or "" for x in texts.to_pylist()])
+                offsets = np.concatenate(([0], np.cumsum(counts)))
+                made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))]
+                if decoded_col is not None:
+                    made.append(pa.array([model.decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*rest, *made], names=out.names)
+
+    made = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col is not None else [])]
+    kept = [f for f in docs.schema.fields if f.name not in (ids_col, decoded_col)]
+    out = T.StructType([*kept, *made])
     return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias(p + "text")).mapInArrow(run, out)
 
 
@@ -381,10 +454,10 @@ def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col
     spec = rows.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Vocabulary(spec.value)
+        model = vocabulary_of(spec.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for at, n in text_groups(whole.column(whole.num_columns - 1), GROUP_BYTES):
+                batch = whole.slice(at, n)
                 texts = [model.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else []) for x in batch.column(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=out.names)
 
@@ -396,10 +469,8 @@ def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col
 
 def digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs: its text encoded, and the ids decoded again."""
-    ids = encode(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), vocabulary_path)
-    ids = ids.select("doc_id", "ids")
-    decoded = decode(ids, vocabulary_path)
-    return decoded.select(
+    rows = encode(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), vocabulary_path, decoded_col="decoded")
+    return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file in any store that Spark writes to; `data` is small and on the driver."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def text_groups(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of `column` (strings, binaries or lists) that hold about `most` bytes (of lists: elements), one row at least."""
+    sized = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    upto = np.cumsum(sized.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, end - at
+        at = end
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
     spark = df.sparkSession

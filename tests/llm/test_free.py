@@ -187,21 +187,48 @@ def test_conversations(spark):
 # --- BPE
 
 
+def mapped(path, words):
+    path.write_bytes(bpe.compile_lexicon(words))
+    return bpe.Lexicon(str(path))
+
+
+def looked_up(lexicon, words):
+    return [None if n < 0 else tuple(lexicon.ids[lexicon.starts[n] : lexicon.starts[n + 1]].tolist()) for n in lexicon.lookup(words).tolist()]
+
+
 def test_lexicon_is_a_minimal_transducer(tmp_path):
     rng = random.Random(4)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 7))): (k, k + 1)[: 1 + k % 2] for k in range(900)}
     words |= {a + b"ing": (7,) for a in (b"walk", b"talk")}
-    lexicon = bpe.Lexicon.of(bpe.compile_lexicon(words))
+    lexicon = mapped(tmp_path / "some", words)
     asked = [*words, b"", b"zz", b"walkin", b"a" * 99]
-    assert lexicon.lookup(asked) == [words.get(w) for w in asked]
+    assert looked_up(lexicon, asked) == [words.get(w) for w in asked]
     rights = collections.Counter()  # states of a minimal automaton: distinct sets of what may follow
     follow = {}
     for w in words:
         for k in range(len(w) + 1):
             follow.setdefault(w[:k], set()).add(w[k:])
     assert len(lexicon.final) == len({frozenset(x) for x in follow.values()}) and not rights
-    empty_lexicon = bpe.Lexicon.of(bpe.compile_lexicon({}))
-    assert empty_lexicon.lookup([b"a", b""]) == [None, None]
+    assert looked_up(mapped(tmp_path / "none", {}), [b"a", b""]) == [None, None]
+
+
+def test_texts_of_any_length_are_encoded_in_blocks(tmp_path, monkeypatch):
+    model, library = bpe.Vocabulary(bpe.read_vocabulary(VOCABULARY)), Tokenizer.from_file(VOCABULARY)
+    words = [b" the", b"the", b" and"]
+    ids, sizes = model.merge_all(words)
+    lexicon = mapped(tmp_path / "few", {w: tuple(ids[sum(sizes[:k]) : sum(sizes[: k + 1])].tolist()) for k, w in enumerate(words)})
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 64)
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    encoder = bpe.Encoder(model, lexicon)
+    texts = ["the and", "", "a<|endoftext|> the", "x" * 300 + " y", "the and the \n " * 40 + "<|endoftext|>  é ж" * 9, " ".join(f"w{k}" for k in range(200))]
+    for group in ([t] for t in texts):
+        values, counts = encoder.encode(group)
+        assert values.tolist() == library.encode(group[0], add_special_tokens=False).ids and counts.tolist() == [len(values)]
+    values, counts = encoder.encode(texts[:3])
+    assert counts.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts[:3]]
+    long = "".join(random.Random(2).choice("abcdeé") for _ in range(40_000))
+    assert model.merge(long.encode()) == library.encode(long, add_special_tokens=False).ids
 
 
 def test_words_are_split_as_the_library_does():
