@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.bpe import decode, encode
+from gazette.llm.bpe import encode
 from gazette.llm.common import forget, materialize
 from gazette.llm.content_sort import content_sort
 from gazette.llm.mixing import mixed
@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row that is left, and whether they decode to its text."""
-    rows = decode(encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY), VOCABULARY)
+    rows = encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, decoded_col="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
