@@ -57,7 +57,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.paragraph_groups(table(spark, sf_dir, "documents"))
+    return substring.paragraph_groups(table(spark, sf_dir, "documents"), least_run=substring.PASSAGE_WORDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
