@@ -4,10 +4,13 @@ Word and line statistics of every whole text are transformed to a vector, its mi
 covariance are estimated per language and source, and rows with a large Mahalanobis distance are rejected. DataFrame
 operations only: each text is read once, and the concentration steps run over the small table of vectors.
 
-Estimation follows the deterministic form of the method: it starts from the rows nearest to the coordinate-wise
-medians and takes concentration steps. A step groups the rows of a group by binned distance and sums moments for each
-bin (partial sums on the map side, so a hot group is no one's burden), and the bins up to the wanted share of rows,
-the last of them in proportion, give the next mean and covariance.
+Estimation follows the deterministic form of the method. Medians and quartile distances give three starts: scales
+alone, with correlations of the hyperbolic tangents, and with spatial signs. Each takes two concentration steps, of each
+group the start of the least determinant goes on until its determinant falls no more, and the rows within the 97.5 %
+ellipsoid of that estimate give the last one (the reweighting step). A concentration step groups the rows of a group by
+binned distance and sums moments for each bin (partial sums on the map side, so a hot group is no one's burden), and the
+bins up to the wanted share of rows, the last of them in proportion, give the next mean and covariance. A bin spans 4.4 %
+of squared distance, so rows of the boundary bin alone are weighed by a share instead of being taken or left.
 """
 
 from __future__ import annotations
@@ -17,20 +20,22 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, let, materialize, prefix, quoted, words
+from .common import WS, forget, let, materialize, prefix, quoted, words
 
 #: Share of rows that the estimate rests on.
 SUPPORT = 0.75
-#: Concentration steps after the start.
-STEPS = 3
-#: A language and source of fewer rows uses its language's estimate; a language of fewer, that of all rows.
+#: Concentration steps that every start takes, and that the best of a group's takes at most; it ends when no group's log determinant falls by FALL.
+FIRST_STEPS, MOST_STEPS, FALL = 2, 20, 1e-3
+#: A language and source of fewer rows uses its language's estimate; a language of fewer, that of all rows. The column `level` tells which.
 LEAST_ROWS = 200
-#: Squared distances above this are rejected; of a fitted normal of four dimensions, a row lies beyond with a chance of 2e-14.
+#: Squared distances above this are rejected: the chi-squared quantile (4 degrees of freedom) at 1 - 2e-14, so that of 100 billion rows of a normal law less than one is expected to go.
 CUTOFF = 70.0
 #: The vector's parts and the least standard deviation of each: a part that is the same in most rows has none of its own.
 FLOORS = {"length": 0.08, "symbols": 0.15, "lines": 0.12, "repeats": 0.12}
 #: Of a chi-squared variable with 4 degrees of freedom, the SUPPORT quantile.
 QUANTILE = 5.385269
+#: The share of rows that the reweighting step rests on, and its quantile.
+REWEIGHED, REWEIGHED_QUANTILE = 0.975, 11.143287
 
 
 def _repeat_words(w: Column) -> Column:
@@ -85,17 +90,18 @@ PAIRS = [(i, j) for i in D for j in D if j <= i]
 
 
 def _cholesky(est: DataFrame, p: str) -> DataFrame:
-    """Columns of c{i}{j}, a positive definite matrix, to l{i}{j}, its lower factor."""
+    """Columns of c{i}{j}, a positive definite matrix, to l{i}{j}, its lower factor, and det, its log determinant; of each group g and start k."""
     for i, j in PAIRS:
         left = F.col(f"{p}c{i}{j}")
         for k in range(j):
             left = left - F.col(f"{p}l{i}{k}") * F.col(f"{p}l{j}{k}")
         est = est.withColumn(f"{p}l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"{p}l{j}{j}"))
-    return est.select(F.col(p + "g"), *[F.col(f"{p}m{i}") for i in D], *[F.col(f"{p}l{i}{j}") for i, j in PAIRS])
+    det = sum((2 * F.log(F.col(f"{p}l{i}{i}")) for i in D), F.lit(0.0))
+    return est.select(F.col(p + "g"), F.col(p + "k"), det.alias(p + "det"), *[F.col(f"{p}m{i}") for i in D], *[F.col(f"{p}l{i}{j}") for i, j in PAIRS])
 
 
 def _with_distance(rows: DataFrame, est: DataFrame, p: str) -> DataFrame:
-    """rows with d2, their squared distance from their group's estimate: forward substitution."""
+    """rows with d2, their squared distance from their group's estimate, and the estimate's k; a row for each of the group's estimates: forward substitution."""
     rows = rows.join(est, p + "g", "left")
     for i in D:
         left = F.col(f"{p}x{i}") - F.col(f"{p}m{i}")
@@ -105,39 +111,92 @@ def _with_distance(rows: DataFrame, est: DataFrame, p: str) -> DataFrame:
     d2 = F.lit(0.0)
     for i in D:
         d2 = d2 + F.col(f"{p}z{i}") * F.col(f"{p}z{i}")
-    return rows.withColumn(p + "d2", d2).drop(*[f"{p}z{i}" for i in D], *[c for c in est.columns if c != p + "g"])
+    return rows.withColumn(p + "d2", d2).drop(*[f"{p}z{i}" for i in D], *[c for c in est.columns if c not in (p + "g", p + "k")])
 
 
-def _start(rows: DataFrame, p: str) -> DataFrame:
-    """Medians, and quartile distances as scales."""
+def _starts(rows: DataFrame, p: str) -> DataFrame:
+    """Three estimates a group: medians, and as scatter quartile distances alone (k 0), with correlations of tanh (1), with spatial signs (2)."""
     quartiles = [F.percentile_approx(f"{p}x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"{p}q{i}") for i in D]
-    est = rows.groupBy(p + "g").agg(*quartiles)
-    for i, floor in enumerate(FLOORS.values()):
-        scale = (F.col(f"{p}q{i}")[2] - F.col(f"{p}q{i}")[0]) / 1.349
-        est = est.withColumns({f"{p}m{i}": F.col(f"{p}q{i}")[1], f"{p}c{i}{i}": scale * scale + floor * floor} | {f"{p}c{i}{j}": F.lit(0.0) for j in range(i)})
+    centre = rows.groupBy(p + "g").agg(*quartiles)
+    scale = lambda i, floor: F.sqrt(F.pow((F.col(f"{p}q{i}")[2] - F.col(f"{p}q{i}")[0]) / 1.349, 2) + floor**2)
+    centre = centre.select(p + "g", *[F.col(f"{p}q{i}")[1].alias(f"{p}m{i}") for i in D], *[scale(i, f).alias(f"{p}s{i}") for i, f in enumerate(FLOORS.values())])
+    centre = materialize(centre, "quality-centre")
+    z = rows.join(centre, p + "g").select(p + "g", *[((F.col(f"{p}x{i}") - F.col(f"{p}m{i}")) / F.col(f"{p}s{i}")).alias(f"{p}z{i}") for i in D])
+    norm = F.greatest(F.sqrt(sum((F.col(f"{p}z{i}") * F.col(f"{p}z{i}") for i in D), F.lit(0.0))), F.lit(1e-9))
+    t, u = [F.tanh(F.col(f"{p}z{i}")) for i in D], [F.col(f"{p}z{i}") / norm for i in D]
+    sums = [F.avg(t[i]).alias(f"{p}t{i}") for i in D] + [F.avg(t[i] * t[j]).alias(f"{p}t{i}{j}") for i, j in PAIRS] + [F.avg(u[i] * u[j]).alias(f"{p}u{i}{j}") for i, j in PAIRS]
+    est = centre.join(z.groupBy(F.col(p + "g").alias(p + "of")).agg(*sums), F.col(p + "g") == F.col(p + "of"))
+    cov = {(i, j): F.col(f"{p}t{i}{j}") - F.col(f"{p}t{i}") * F.col(f"{p}t{j}") for i, j in PAIRS}
+    kinds = (
+        lambda i, j: F.lit(1.0 if i == j else 0.0),
+        lambda i, j: F.lit(1.0) if i == j else cov[i, j] / F.sqrt((cov[i, i] + 1e-3) * (cov[j, j] + 1e-3)),
+        lambda i, j: len(D) * F.col(f"{p}u{i}{j}") + (0.05 if i == j else 0.0),
+    )
+    of_kind = lambda f: F.struct(*[(f(i, j) * F.col(f"{p}s{i}") * F.col(f"{p}s{j}")).alias(f"{p}c{i}{j}") for i, j in PAIRS])
+    est = est.select(p + "g", *[f"{p}m{i}" for i in D], F.posexplode(F.array(*map(of_kind, kinds))).alias(p + "k", p + "c"))
+    return _cholesky(est.select("*", p + "c.*"), p)
+
+
+def _from_sums(est: DataFrame, p: str, share: float, quantile: float) -> DataFrame:
+    """Sums n, s{i} and s{i}{j} of the nearest `share` of a normal law's rows to its mean and covariance, which lie within the squared distance `quantile`."""
+    n = F.col(p + "n")
+    est = est.withColumns({f"{p}m{i}": F.col(f"{p}s{i}") / n for i in D})
+    consistent = share / (1 - math.exp(-quantile / 2) * (1 + quantile / 2 + quantile**2 / 8))
+    floors = list(FLOORS.values())
+    for i, j in PAIRS:
+        cov = consistent * (F.col(f"{p}s{i}{j}") / n - F.col(f"{p}m{i}") * F.col(f"{p}m{j}"))
+        est = est.withColumn(f"{p}c{i}{j}", F.greatest(cov, F.lit(0.0)) + floors[i] ** 2 if i == j else cov)
     return _cholesky(est, p)
 
 
+def _moments(p: str) -> list[Column]:
+    x = [F.col(f"{p}x{i}") for i in D]
+    return [F.count("*").alias(p + "n"), *[F.sum(x[i]).alias(f"{p}s{i}") for i in D], *[F.sum(x[i] * x[j]).alias(f"{p}s{i}{j}") for i, j in PAIRS]]
+
+
 def _step(rows: DataFrame, est: DataFrame, p: str) -> DataFrame:
-    """One concentration step: mean and covariance of the SUPPORT share of each group's rows nearest to its estimate."""
-    g, n = F.col(p + "g"), F.col(p + "n")
+    """One concentration step: mean and covariance of the SUPPORT share of each group's rows nearest to each of its estimates."""
+    g, k, n = F.col(p + "g"), F.col(p + "k"), F.col(p + "n")
     near = _with_distance(rows, est, p).withColumn(p + "bin", F.floor(16 * F.log2(F.col(p + "d2") + 2.0**-10)))
-    x = [F.col(f"{p}x{i}") for i in D]
-    bins = near.groupBy(g, p + "bin").agg(F.count("*").alias(p + "n"), *[F.sum(x[i]).alias(f"{p}s{i}") for i in D], *[F.sum(x[i] * x[j]).alias(f"{p}s{i}{j}") for i, j in PAIRS])
-    upto = Window.partitionBy(g).orderBy(p + "bin").rowsBetween(Window.unboundedPreceding, -1)
-    of_group = Window.partitionBy(g).orderBy(p + "bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bins = near.groupBy(g, k, p + "bin").agg(*_moments(p))
+    upto = Window.partitionBy(g, k).orderBy(p + "bin").rowsBetween(Window.unboundedPreceding, -1)
+    of_group = Window.partitionBy(g, k).orderBy(p + "bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bins = bins.withColumns({p + "before": F.coalesce(F.sum(n).over(upto), F.lit(0)), p + "all": F.sum(n).over(of_group)})
     weight = F.least(F.greatest((F.col(p + "all") * SUPPORT - F.col(p + "before")) / n, F.lit(0.0)), F.lit(1.0))
     bins = bins.withColumn(p + "w", weight)
     sums = [p + "n", *[f"{p}s{i}" for i in D], *[f"{p}s{i}{j}" for i, j in PAIRS]]
-    est = bins.groupBy(g).agg(*[F.sum(F.col(s) * F.col(p + "w")).alias(s) for s in sums])
-    est = est.withColumns({f"{p}m{i}": F.col(f"{p}s{i}") / n for i in D})
-    consistent = SUPPORT / (1 - math.exp(-QUANTILE / 2) * (1 + QUANTILE / 2 + QUANTILE**2 / 8))
-    floors = list(FLOORS.values())
-    for i, j in PAIRS:
-        cov = consistent * (F.col(f"{p}s{i}{j}") / n - F.col(f"{p}m{i}") * F.col(f"{p}m{j}"))
-        est = est.withColumn(f"{p}c{i}{j}", F.greatest(cov, F.lit(0.0)) + floors[i] ** 2 if i == j else cov)
-    return _cholesky(est, p)
+    return _from_sums(bins.groupBy(g, k).agg(*[F.sum(F.col(s) * F.col(p + "w")).alias(s) for s in sums]), p, SUPPORT, QUANTILE)
+
+
+def _least(est: DataFrame, p: str) -> DataFrame:
+    """Of each group, the estimate of the least determinant."""
+    rest = [c for c in est.columns if c not in (p + "g", p + "det", p + "k")]
+    best = est.groupBy(p + "g").agg(F.min(F.struct(p + "det", p + "k", *rest)).alias(p + "best"))
+    return best.select(p + "g", *[F.col(f"{p}best.{c}").alias(c) for c in (p + "k", p + "det", *rest)])
+
+
+def _minimised(rows: DataFrame, p: str, most_steps: int) -> DataFrame:
+    """The estimate of each group of rows: starts, concentration steps, the least determinant, reweighting."""
+    est = materialize(_starts(rows, p), "quality-starts")
+    for _ in range(FIRST_STEPS):
+        before, est = est, materialize(_step(rows, est, p), "quality-steps")
+        forget(before)
+    before, est = est, materialize(_least(est, p), "quality-best")
+    forget(before)
+    for _ in range(most_steps):
+        # A step that the bins make worse is not taken.
+        both = est.unionByName(_step(rows, est, p).withColumn(p + "k", F.col(p + "k") + 1))
+        better = materialize(_least(both, p), "quality-best")
+        falls = est.join(better.select(F.col(p + "g").alias(p + "of"), F.col(p + "det").alias(p + "now")), F.col(p + "g") == F.col(p + "of"))
+        fall = falls.agg(F.max(F.col(p + "det") - F.col(p + "now"))).first()[0]
+        forget(est)
+        est = better
+        if fall is None or fall < FALL:
+            break
+    near = _with_distance(rows, est, p).filter(F.col(p + "d2") <= REWEIGHED_QUANTILE)
+    last = materialize(_from_sums(near.groupBy(p + "g", p + "k").agg(*_moments(p)), p, REWEIGHED, REWEIGHED_QUANTILE), "quality-estimate")
+    forget(est)
+    return last
 
 
 def _described(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[Column], p: str) -> DataFrame:
@@ -152,57 +211,57 @@ def _described(docs: DataFrame, text_col: str, lang_col: str, source_col: str, k
     return rows.withColumns({f"{p}x{i}": c for i, c in enumerate(parts.values())})
 
 
-def _estimates(rows: DataFrame, p: str, steps: int) -> tuple[DataFrame, DataFrame]:
-    """Of described rows: which estimate each language and source has, and the estimates."""
+def _estimates(rows: DataFrame, p: str, least_rows: int, most_steps: int) -> tuple[DataFrame, DataFrame]:
+    """Of described rows: which estimate each language and source has, with its level, and the estimates."""
     good = rows.filter(~F.col(p + "base_failed"))
     sizes = good.groupBy(F.col(p + "lang").alias(p + "l"), F.col(p + "source").alias(p + "r")).agg(F.count("*").alias(p + "n"))
     sizes = sizes.withColumn(p + "of_lang", F.sum(p + "n").over(Window.partitionBy(p + "l")))
-    level = F.when(F.col(p + "n") >= LEAST_ROWS, 2).when(F.col(p + "of_lang") >= LEAST_ROWS, 1).otherwise(0)
+    level = F.when(F.col(p + "n") >= least_rows, 2).when(F.col(p + "of_lang") >= least_rows, 1).otherwise(0)
     part = lambda c: F.concat(F.coalesce(F.length(c), F.lit(-1)), F.lit(":"), F.coalesce(c, F.lit("")))
     lang, source = part(F.col(p + "l")), part(F.col(p + "r"))
     names = F.array(F.lit("0//"), F.concat(F.lit("1/"), lang, F.lit("/")), F.concat(F.lit("2/"), lang, F.lit("/"), source))
-    groups = materialize(sizes.select(p + "l", p + "r", F.get(names, level).alias(p + "g"), names.alias(p + "all_g")), "quality-groups")
+    groups = materialize(sizes.select(p + "l", p + "r", level.alias(p + "level"), F.get(names, level).alias(p + "g"), names.alias(p + "all_g")), "quality-groups")
     # All good rows of a language, and all good rows, are what the estimates used for small groups rest on.
     used = groups.select(p + "g").distinct()
     shares = groups.select(p + "l", p + "r", F.explode(p + "all_g").alias(p + "g")).join(used, p + "g", "left_semi")
     vectors = good.select(p + "lang", p + "source", *[f"{p}x{i}" for i in D]).join(shares, _in_group(p))
-    est = materialize(_start(vectors, p), "quality-start")
-    for _ in range(steps):
-        est = materialize(_step(vectors, est, p), "quality-step")
-    return groups.drop(p + "all_g"), est
+    return groups.drop(p + "all_g"), _minimised(vectors, p, most_steps)
 
 
 def _in_group(p: str) -> Column:
     return F.col(p + "lang").eqNullSafe(F.col(p + "l")) & F.col(p + "source").eqNullSafe(F.col(p + "r"))
 
 
-def _judged(rows: DataFrame, groups: DataFrame, est: DataFrame, p: str) -> DataFrame:
+def _judged(rows: DataFrame, groups: DataFrame, est: DataFrame, p: str, cutoff: float) -> DataFrame:
     """Described rows with d2 (null where the base rules failed) and kept."""
     # A row of a group in which no row passed the base rules has failed them too, so it needs no estimate.
     rows = _with_distance(rows.join(groups, _in_group(p), "left"), est, p)
     d2 = F.when(~F.col(p + "base_failed"), F.col(p + "d2"))
-    return rows.withColumns({p + "d2": d2, p + "kept": F.coalesce(d2 <= CUTOFF, F.lit(False))})
+    return rows.withColumns({p + "d2": d2, p + "kept": F.coalesce(d2 <= cutoff, F.lit(False))})
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", steps: int = STEPS) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and distance (null where the base rules failed), a row for each row of docs.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF, most_steps: int = MOST_STEPS) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance and level (both null where the base rules failed), a row for each row of docs.
 
-    Null text is a text of no words, which the base rules reject. Null languages and sources are groups of their own.
-    Rows that repeat are judged alike; extra columns are ignored; no rows give no rows.
+    level tells whose estimate judged the row: 2 that of its language and source, 1 (fewer than least_rows good rows there) of
+    its language, 0 (fewer there too) of all rows. Null text is a text of no words, which the base rules reject. Null languages
+    and sources are groups of their own. Rows that repeat are judged alike; extra columns are ignored; no rows give no rows.
     """
     ident = F.col(f"`{id_col}`")
     p = prefix(docs)
     rows = materialize(_described(docs, text_col, lang_col, source_col, [ident], p), "quality")
-    rows = _judged(rows, *_estimates(rows, p, steps), p)
+    rows = _judged(rows, *_estimates(rows, p, least_rows, most_steps), p, cutoff)
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rows.select(ident.alias("doc_id"), *[F.col(p + c).alias(c) for c in longs], F.col(p + "base_failed").alias("base_failed"), F.col(p + "kept").alias("kept"), F.sqrt(p + "d2").alias("distance"))
+    level = F.when(~F.col(p + "base_failed"), F.col(p + "level"))
+    return rows.select(ident.alias("doc_id"), *[F.col(p + c).alias(c) for c in longs], F.col(p + "base_failed").alias("base_failed"), F.col(p + "kept").alias("kept"), F.sqrt(p + "d2").alias("distance"), level.alias("level"))
 
 
-def quality_kept(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", steps: int = STEPS) -> DataFrame:
+def quality_kept(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF, most_steps: int = MOST_STEPS) -> DataFrame:
     """The rows of docs that quality_rules() keeps, in docs' columns. Texts are read twice, for the estimates and for the verdicts, and never written."""
     p = prefix(docs)
     vectors = [p + "lang", p + "source", p + "base_failed", *[f"{p}x{i}" for i in D]]
     small = materialize(_described(docs, text_col, lang_col, source_col, [], p).select(*vectors), "quality")
-    groups, est = _estimates(small, p, steps)
-    rows = _judged(_described(docs, text_col, lang_col, source_col, quoted(docs.columns), p), groups, est, p)
+    groups, est = _estimates(small, p, least_rows, most_steps)
+    forget(small)
+    rows = _judged(_described(docs, text_col, lang_col, source_col, quoted(docs.columns), p), groups, est, p, cutoff)
     return rows.filter(p + "kept").select(*quoted(docs.columns))

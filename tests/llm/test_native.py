@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,50 @@ def test_small_groups_are_judged_by_their_language_or_by_all(spark):
     assert not any(kept[1000 + k] for k in range(20)) and not kept[2000]
 
 
+def slow_estimate(x, starts):
+    """Mean, covariance and log determinant of the minimum-covariance-determinant subset of the rows of x, row by row, from the best of `starts` (sets of rows)."""
+    n, h = len(x), round(quality.SUPPORT * len(x))
+    floors = np.diag(np.square(list(quality.FLOORS.values())))
+    q = quality.QUANTILE
+    consistent = quality.SUPPORT / (1 - np.exp(-q / 2) * (1 + q / 2 + q**2 / 8))
+    of = lambda rows, by: (rows.mean(0), by * np.cov(rows.T, bias=True) + floors)
+    d2 = lambda mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    best = None
+    for start in starts:
+        mean, cov = of(x[start], consistent)
+        for _ in range(60):
+            mean, cov = of(x[np.argsort(d2(mean, cov), kind="stable")[:h]], consistent)
+        found = (np.linalg.slogdet(cov)[1], mean, cov)
+        best = found if best is None or found[0] < best[0] else best
+    q = quality.REWEIGHED_QUANTILE
+    again = quality.REWEIGHED / (1 - np.exp(-q / 2) * (1 + q / 2 + q**2 / 8))
+    return best[0], d2(*of(x[d2(*best[1:]) <= q], again))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_estimates_are_those_of_brute_force(spark, seed):
+    """Against concentration steps row by row from 60 random subsets: as small a determinant, and the same distances and verdicts up to the boundary bin."""
+    rng = np.random.default_rng(seed)
+    mix = rng.normal(size=(4, 4)) * 0.4 + np.eye(4)
+    x = rng.normal(size=(900, 4)) @ mix
+    x[:150] = rng.normal(size=(150, 4)) * 0.3 + [9, -7, 8, 9]
+    p = "__g0_"
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "__g0_g string, __g0_x0 double, __g0_x1 double, __g0_x2 double, __g0_x3 double")
+    raw = quality._minimised(rows, p, quality.MOST_STEPS)
+    got = np.array([r[0] for r in quality._with_distance(rows, raw, p).orderBy("__g0_x0").select("__g0_d2").collect()])
+    det, want = slow_estimate(x[np.argsort(x[:, 0])], [rng.choice(900, 30, replace=False) for _ in range(60)])
+    assert np.allclose(got, want, rtol=0.08, atol=0.05)
+    assert ((got <= quality.CUTOFF) == (want <= quality.CUTOFF)).all() and (got > quality.CUTOFF).sum() >= 150
+
+
+def test_levels_tell_whose_estimate_judged(spark):
+    rows = [(k, prose(k), "en", "big" if k < 60 else f"s{k}") for k in range(70)] + [(100 + k, prose(200 + k), "fr", None) for k in range(5)] + [(200, "short", "en", "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for least, want in ((60, (2, 1, 0)), (5, (2, 1, 2))):
+        got = {r.doc_id: r.level for r in quality.quality_rules(df, least_rows=least, most_steps=1).collect()}
+        assert (got[0], got[65], got[100]) == want and got[200] is None
+
+
 def test_quality_kept_has_the_rows_and_columns_of_docs(spark, hard):
     df = clashing(hard.unionByName(docs(spark, [(prose(k),) for k in range(40)])))
     kept = quality.quality_kept(df)
