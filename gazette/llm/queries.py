@@ -26,7 +26,7 @@ def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(table(spark, sf_dir, "documents"))
+    return secrets.digests_of_generations(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

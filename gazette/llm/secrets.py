@@ -3,19 +3,27 @@
 Every version of a text is a blob, named by its SHA-256. The ledger holds, for each blob and rule version, the findings
 of that scan, if any. A run scans only the pairs of blob and rule version that the ledger lacks, each distinct blob
 once however many paths bear it, adds them to the ledger, and joins the findings back to all paths of this run.
+
+Only hashes are held against the ledger. Texts move for the paths that are to be scanned alone: one path of each unseen
+blob, that of the smallest identifier, is joined to its text by identifier and blob, so that a blob which very many paths
+bear is spread over all tasks. The ledger is partitioned by rule and version, so a run reads the rules that it asks for.
+A pair that is appended twice, by two runs at a time or by one that is tried again, counts once wherever the ledger is read.
 """
 
 from __future__ import annotations
 
+import operator
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import forget, materialize, new_path, prefix
 
 
 @dataclass(frozen=True)
@@ -65,45 +73,48 @@ def joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in order)
 
 
-LEDGER = "blob string, kind string, version int, spans array<struct<start:long,end:long>>"
+SPANS = "array<struct<start:long,end:long>>"
+#: A ledger's rows; it is partitioned by the last two columns. `run` names the run that scanned the pair.
+LEDGER = f"blob string, run string, spans {SPANS}, kind string, version int"
 
 
-def read_ledger(spark, path: str | None) -> DataFrame:
-    """The ledger at `path`; an empty one where none has been written."""
+def read_ledger(spark: SparkSession, path: str | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger at `path`, of the versions of `rules` alone; an empty one where none has been written."""
     if path is not None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            return spark.read.schema(LEDGER).parquet(path)
+            wanted = reduce(operator.or_, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
+            return spark.read.schema(LEDGER).parquet(path).filter(wanted)
     return spark.createDataFrame([], LEDGER)
 
 
-def scan_unseen(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Ledger rows for those pairs of a blob in `blobs` (blob, text; copies allowed) and a rule version that `ledger` lacks.
-
-    Partial aggregation takes copies together before the shuffle, so a blob that very many paths bear is no one's burden.
-    """
-    wanted = [(r.kind, r.version) for r in rules]
+def unseen(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, doc_id (the smallest that bears it, null if only null does) and todo (kind/version, of those that `ledger` lacks) for each blob of paths (doc_id, blob) that has any."""
+    names = F.array(*[F.lit(f"{r.kind}/{r.version}") for r in rules])
     have = ledger.groupBy(F.col("blob").alias("seen")).agg(F.collect_set(F.concat_ws("/", "kind", F.col("version").cast("string"))).alias("have"))
-    names = F.array(*[F.lit(f"{k}/{v}") for k, v in wanted])
-    distinct = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    todo = distinct.join(have, F.col("blob") == F.col("seen"), "left")
-    todo = todo.select("blob", "text", F.array_except(names, F.coalesce("have", F.array().cast("array<string>"))).alias("todo")).filter("size(todo) > 0")
+    first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    todo = F.array_except(names, F.coalesce("have", F.array().cast("array<string>")))
+    return first.join(have, F.col("blob") == F.col("seen"), "left").select("blob", "doc_id", todo.alias("todo")).filter("size(todo) > 0")
+
+
+def scan_texts(rows: DataFrame, run_name: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Ledger rows for each row of rows (blob, text, todo) and each rule named in its todo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners: dict[tuple[str, ...], Scanner] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for blob, text, left in zip(*(c.to_pylist() for c in whole.slice(at, ROWS).columns), strict=True):
                     scanner = scanners.setdefault(tuple(left), Scanner(tuple(r for r in rules if f"{r.kind}/{r.version}" in left)))
                     found = scanner.spans(text)
                     for rule, _ in scanner.rules:
-                        for column, value in zip(out, (blob, rule.kind, rule.version, [{"start": a, "end": b} for a, b in found[rule.kind]]), strict=True):
+                        for column, value in zip(out, (blob, run_name, [{"start": a, "end": b} for a, b in found[rule.kind]], rule.kind, rule.version), strict=True):
                             column.append(value)
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["blob", "kind", "version", "spans"])
+                kinds = (pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["blob", "run", "spans", "kind", "version"])
 
-    return todo.mapInArrow(run, LEDGER)
+    return rows.select("blob", "text", "todo").mapInArrow(run, LEDGER)
 
 
 def scan(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -114,23 +125,42 @@ def scan(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id"
     rows give no rows.
     """
     spark = docs.sparkSession
+    p = prefix(docs)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    paths = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
+    blob = F.sha2(text, 256)
+    paths = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), blob.alias("blob")), "paths")
     path = ledger_path or new_path(spark, "blob-ledger")
-    scan_unseen(paths.select("blob", "text"), read_ledger(spark, ledger_path), rules).write.mode("append").parquet(path)
+    todo = materialize(unseen(paths, read_ledger(spark, ledger_path, rules), rules), "unseen")  # so that its size is known: texts are shuffled only where it is large
+    texts = docs.select(F.col(f"`{id_col}`").alias(p + "id"), blob.alias(p + "blob"), text.alias("text"))
+    met = texts.join(todo, F.col(p + "id").eqNullSafe(F.col("doc_id")) & (F.col(p + "blob") == F.col("blob")))
+    scan_texts(met, uuid.uuid4().hex, rules).write.mode("append").partitionBy("kind", "version").parquet(path)
+    forget(todo)
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))])
-    version = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-    found = spark.read.schema(LEDGER).parquet(path).filter((F.size("spans") > 0) & (version[F.col("kind")] == F.col("version")))
+    found = read_ledger(spark, path, rules).filter(F.size("spans") > 0)
     rows = found.select("blob", "kind", F.explode("spans").alias("s"))
     each = F.struct(F.col("s.start").alias("start"), order[F.col("kind")].alias("k"), F.col("s.end").alias("end"), F.col("kind").alias("kind"))
     findings = rows.groupBy(F.col("blob").alias("of")).agg(F.array_sort(F.collect_set(each)).alias("spans"))
-    # Most blobs have no findings, and a blob's findings are as many as its own spans: the small side of the join.
-    joined_back = paths.select("doc_id", "blob").join(findings, F.col("blob") == F.col("of"), "left")
+    # Most blobs have no findings, and a blob's findings are as many as its own spans: the small side of a join whose other side can be split.
+    findings = materialize(findings, "findings")
+    joined_back = paths.join(findings, F.col("blob") == F.col("of"), "left")
     empty = F.array().cast("array<struct<start:long,k:int,end:long,kind:string>>")
     spans = F.transform(F.coalesce("spans", empty), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return joined_back.select("doc_id", "blob", spans.alias("spans"))
 
 
+def scanned_pairs(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """run, kind, version and pairs: how many blobs each run scanned by each rule's version."""
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path)
+    return ledger.groupBy("run", "kind", "version").agg(F.count("*").alias("pairs"))
+
+
+def digests_of_generations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """digests() of all of docs as the second generation over one ledger; the first, some half of the rows by a hash, is in the ledger already and is not scanned again."""
+    path = new_path(docs.sparkSession, "blob-ledger")
+    scan(docs.filter(F.xxhash64(F.col(f"`{id_col}`")) > 0), path, id_col, text_col)
+    return digests(docs, path, id_col, text_col)
+
+
 def digests(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of docs, from scan()."""
     rows = scan(docs, ledger_path, id_col, text_col)
