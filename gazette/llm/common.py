@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A key is hot from this share of all rows on, and from so many rows.
+HOT, LEAST_HOT = 1 / 1_000, 256
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir; where it is unset (as in tests), one of our own."""
@@ -59,6 +62,28 @@ def text_groups(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def hot_keys(keys: DataFrame) -> DataFrame:
+    """The keys (key: long) that make HOT of all rows or more; at most 4 / 3 / HOT rows, whatever the input.
+
+    Of a batch, keys above a quarter of that share are counted on, less a quarter each. What a key of the share loses so is
+    at most a quarter, and no more keys can keep three quarters than the bound says.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
+            over = n - int(batch.num_rows * HOT / 4)
+            much = over > 1
+            yield pa.RecordBatch.from_arrays([pa.array(found[much]), pa.array(over[much]), pa.array(np.where(np.arange(much.sum()) == 0, batch.num_rows, 0))], names=["key", "n", "rows"])
+            if not much.any():
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([batch.num_rows])], names=["key", "n", "rows"])
+
+    counts = keys.mapInArrow(run, "key long, n long, rows long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    counts = materialize(counts, "hot-keys")
+    rows = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return counts.filter(F.col("key").isNotNull() & (F.col("n") >= max(LEAST_HOT, 0.75 * HOT * rows))).select("key")
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
     spark = df.sparkSession

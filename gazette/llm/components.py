@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating star contraction (large star, then small star).
 
 A round sends every node's larger neighbours to its smallest one, then its smaller ones; the number of rounds grows
-with the logarithm of the longest chain. Minima come from aggregates with partial sums, so a node with very many links
-is no single task's work, and each round's links are written to the shared folder.
+with the logarithm of the longest chain. Minima come from aggregates with partial sums and are written before the links
+are joined to them, so that Spark broadcasts them where they are few, and otherwise can split the links of a node that
+has very many. Each round's links are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,17 +15,23 @@ from .common import forget, materialize
 
 
 def _stars(links: DataFrame, both: bool) -> DataFrame:
-    """One half round over links (u > v)."""
+    """One half round over links (u > v), written."""
     if both:
         sides = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = links
     least = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    least = materialize(least, "least")
     met = sides.join(least, F.col("u") == F.col("k"))
     if both:
-        return met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    to_least = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return to_least.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+        stars = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        to_least = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = to_least.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
+    stars = materialize(stars.distinct(), "links")
+    forget(least)
+    forget(links)
+    return stars
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -39,8 +46,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
-        mark, old = now, links
-        links = materialize(_stars(_stars(old, True), False), "links")
-        forget(old)
+        mark = now
+        links = _stars(_stars(links, True), False)
     ends = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -7,6 +7,11 @@ radius plus the threshold, 1 + 1 = 2 bits: the nearest anchor of one fingerprint
 linked to it through this half. A fingerprint has 2 or 17 of 2^27 anchors for a half, and fingerprints are compared in
 full within each anchor. Equal fingerprints are one point, so copies meet no anchor twice.
 
+An anchor that holds a thousandth of all points or more is parted, and so is one of more than LARGE points within its
+task: of two points that meet by one half, the other half's two quarters differ in at most 3 bits, so one of them differs
+in at most 1, and the quarters are covered by the same rule with the [15,11] code. A parted anchor's points have 4 to 18
+of 2 x 2^12 parts each.
+
 An anchor's fingerprints come sorted, 8 bytes each. Pairs are not listed: an anchor's points are taken off a list as
 they are reached from one another, and a link is returned for each point reached, which leaves the same components.
 """
@@ -14,6 +19,7 @@ they are reached from one another, and a link is returned for each point reached
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, prefix, quoted, shuffle_partitions
+from .common import hot_keys, materialize, prefix, quoted, shuffle_partitions
 from .components import connected_components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
@@ -62,40 +68,59 @@ def with_fingerprints(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     return docs.withColumn(name, F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, out)
 
 
-def _columns() -> tuple[np.ndarray, np.ndarray]:
-    """For each syndrome s of the [31,26] code, the masks that lead to code words within 2 bits, and how many there are."""
-    masks, counts = np.zeros((32, 16), np.uint64), np.zeros(32, np.int64)
+@lru_cache
+def _columns(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each syndrome s of the Hamming code of n - 1 bits, the masks that lead to code words within 2 bits, and how many there are."""
+    masks, counts = np.zeros((n, n // 2), np.uint64), np.zeros(n, np.int64)
     bit = lambda i: 1 << (i - 1)  # noqa: E731  column i of the code's check matrix is i in binary
-    for s in range(32):
-        found = [0] if s == 0 else [bit(s), *[bit(i) | bit(i ^ s) for i in range(1, 32) if i < i ^ s]]
+    for s in range(n):
+        found = [0] if s == 0 else [bit(s), *[bit(i) | bit(i ^ s) for i in range(1, n) if i < i ^ s]]
         masks[s, : len(found)], counts[s] = found, len(found)
     return masks, counts
 
 
-def syndromes(points: np.ndarray) -> np.ndarray:
-    """The exclusive or of the numbers of the bits set, of bits 1 to 31."""
+def syndromes(points: np.ndarray, n: int = 32) -> np.ndarray:
+    """The exclusive or of the numbers of the bits set, of bits 1 to n - 1."""
     s = np.zeros(len(points), np.int64)
-    for i in range(1, 32):
+    for i in range(1, n):
         s ^= ((points >> np.uint64(i - 1)) & np.uint64(1)).astype(np.int64) * i
     return s
 
 
+def covered(v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in v, anchor) of every anchor of each point of n bits, n a power of two: points that differ in 1 bit or none share one."""
+    masks, counts = _columns(n)
+    at, to = [], []
+    s = syndromes(v & np.uint64((1 << (n - 1)) - 1), n)
+    for k in range(masks.shape[1]):
+        has = np.flatnonzero(counts[s] > k)
+        at.append(has)
+        to.append(v[has] ^ masks[s[has], k])
+    # The last bit differs: 1 bit is left for the code.
+    at.append(np.arange(len(v)))
+    to.append(v ^ masks[s, 0] ^ np.uint64(1 << (n - 1)))
+    return np.concatenate(at), np.concatenate(to)
+
+
 def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in points, anchor) of every anchor of each fingerprint: bit 32 tells the half, bits 0 to 31 are the anchor's."""
-    masks, counts = _columns()
+    both = [covered((points >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF), 32) for half in (0, 1)]
+    return np.concatenate([at for at, _ in both]), np.concatenate([to | np.uint64(half << 32) for half, (_, to) in enumerate(both)])
+
+
+#: Set in the name of an anchor's part, and in no anchor.
+PART = np.uint64(1 << 62)
+
+
+def parts(anchor: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, part) of every part of its anchor that each point is in: by the quarters of the half that the anchor is not of."""
+    other = (points >> np.where(anchor >> np.uint64(32) == 0, np.uint64(32), np.uint64(0))) & np.uint64(0xFFFFFFFF)
     at, to = [], []
-    low31, top = np.uint64((1 << 31) - 1), np.uint64(1 << 31)
-    for half in (0, 1):
-        v = (points >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        s = syndromes(v & low31)
-        mark = np.uint64(half << 32)
-        for k in range(masks.shape[1]):
-            has = np.flatnonzero(counts[s] > k)
-            at.append(has)
-            to.append((v[has] ^ masks[s[has], k]) | mark)
-        # The last bit differs: 1 bit is left for the code.
-        at.append(np.arange(len(v)))
-        to.append((v ^ masks[s, 0] ^ top) | mark)
+    for quarter in (0, 1):
+        k, found = covered((other >> np.uint64(16 * quarter)) & np.uint64(0xFFFF), 16)
+        # An anchor of 33 bits, a quarter and its anchor of 16: 50 bits.
+        at.append(k)
+        to.append(PART | anchor[k] << np.uint64(17) | np.uint64(quarter << 16) | found)
     return np.concatenate(at), np.concatenate(to)
 
 
@@ -113,8 +138,8 @@ def linked(points: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-#: Anchors of up to so many points are compared all at once, by the distance between the places of two points.
-SMALL = 32
+#: Anchors of up to so many points are compared all at once, by the distance between the places of two points; those of more than LARGE are parted.
+SMALL, LARGE = 32, 4_096
 
 
 def _links_of_sorted(anchor: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +157,14 @@ def _links_of_sorted(anchor: np.ndarray, point: np.ndarray) -> tuple[np.ndarray,
         u.append(p[same])
         v.append(p[same + k])
     for at in np.flatnonzero(sizes > SMALL):
-        links = linked(point[starts[at] : starts[at] + sizes[at]])
+        of = slice(starts[at], starts[at] + sizes[at])
+        if sizes[at] > LARGE and not anchor[starts[at]] & PART:
+            place, part = parts(anchor[of], point[of])
+            order = np.lexsort((point[of][place], part))
+            for found, more in zip((u, v), _links_of_sorted(part[order], point[of][place[order]]), strict=True):
+                found.append(more)
+            continue
+        links = linked(point[of])
         u.append(np.array([x for x, _ in links], np.uint64))
         v.append(np.array([y for _, y in links], np.uint64))
     return (np.concatenate(u), np.concatenate(v)) if u else (point[:0], point[:0])
@@ -141,10 +173,16 @@ def _links_of_sorted(anchor: np.ndarray, point: np.ndarray) -> tuple[np.ndarray,
 def fingerprint_links(points: DataFrame) -> DataFrame:
     """(u, v): links of the distinct longs in `points`' one column that join all that is joined by 3 or fewer differing bits."""
 
+    hot = np.zeros(0, np.uint64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             at, to = anchors(p)
+            much = np.isin(to, hot)
+            if much.any():
+                k, part = parts(to[much], p[at[much]])
+                at, to = np.concatenate((at[~much], at[much][k])), np.concatenate((to[~much], part))
             yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), pa.array(p[at].view(np.int64))], names=["anchor", "point"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +206,10 @@ def fingerprint_links(points: DataFrame) -> DataFrame:
             held, last = [(a[cut:], p[cut:])], a[-1]
         yield from done(held)
 
-    spread = points.select(F.col(points.columns[0]).alias("point")).mapInArrow(deal, "anchor long, point long")
+    points = points.select(F.col(points.columns[0]).alias("point"))
+    # A bounded number of keys; deal() has them from here on.
+    hot = np.array([r.key for r in hot_keys(points.mapInArrow(deal, "anchor long, point long").select(F.col("anchor").alias("key"))).collect()], np.int64).view(np.uint64)
+    spread = points.mapInArrow(deal, "anchor long, point long")
     dealt = spread.repartition(shuffle_partitions(points.sparkSession), "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(compare, "u long, v long").distinct()
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gazette.llm import bpe, chat, components, quality, secrets, simhash, substring, toxicity, warc
+from gazette.llm import bpe, chat, common, components, quality, secrets, simhash, substring, toxicity, warc
 
 from .test_native import HARD, clashing, docs, empty, prose
 
@@ -96,12 +96,38 @@ def test_groups_are_brute_force(spark, monkeypatch, small):
     place = {p: k for k, p in enumerate(points)}
     assert groups(len(points), [(place[u % 2**64], place[v % 2**64]) for u, v in links]) == want
     monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "LARGE", 40)
     at, to = simhash.anchors(np.array(points, np.uint64))
     order = np.argsort(to, kind="stable")
     u, v = simhash._links_of_sorted(to[order], np.array(points, np.uint64)[at[order]])
     assert groups(len(points), [(place[int(a)], place[int(b)]) for a, b in zip(u, v, strict=True)]) == want
 
 
+def test_hot_anchors_are_parted(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    # One half the same in all points: an anchor that all are in.
+    tails = rng.integers(0, 2**32, 700, dtype=np.uint64)
+    near = tails.copy()
+    for k in range(700):
+        for b in rng.choice(32, rng.integers(1, 4), replace=False):
+            near[k] ^= np.uint64(1) << np.uint64(int(b))
+    points = np.unique(np.concatenate((tails, near)) | np.uint64(0xABCDEF01 << 32))
+    p = points.tolist()
+    want = groups(len(p), [(i, j) for i in range(len(p)) for j in range(i) if (p[i] ^ p[j]).bit_count() <= 3])
+    df = spark.createDataFrame([(x,) for x in points.view(np.int64).tolist()], "p long").repartition(3)
+    hot = simhash.hot_keys(df.select(F.shiftright("p", 32).alias("key")))
+    assert hot.count() == 1
+    place = {x: k for k, x in enumerate(p)}
+    for large in (4_096, 64):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        links = simhash.fingerprint_links(df).collect()
+        assert groups(len(p), [(place[u % 2**64], place[v % 2**64]) for u, v in links]) == want
+    at, to = simhash.anchors(points)
+    k, part = simhash.parts(to, points[at])
+    most = max(collections.Counter(part.tolist()).values())
+    assert max(collections.Counter(to.tolist()).values()) == len(p) and most < len(p) / 8
+
+
 def test_simhash_rows(spark):
     near = prose(2, 300).split()
     rows = docs(spark, [(t,) for t in HARD] + [(" ".join(near),), (" ".join(["Other", *near[1:]]),), (prose(3),), (prose(3).upper(), 3), (prose(3), 3)])
@@ -484,7 +510,7 @@ def test_runs_tell_passages_from_stock_phrases(spark):
 
 def test_hot_keys_and_large_sets_are_parted(spark, monkeypatch):
     hot = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -5).otherwise(F.xxhash64("id")).alias("key"))
-    assert [r.key for r in substring.hot_keys(hot).collect()] == [-5] and substring.hot_keys(hot.limit(0)).count() == 0
+    assert [r.key for r in common.hot_keys(hot).collect()] == [-5] and common.hot_keys(hot.limit(0)).count() == 0
     monkeypatch.setattr(substring, "BLOCK", 4)
     monkeypatch.setattr(substring.np, "sqrt", lambda x: np.zeros(np.shape(x)))
     p = np.arange(100, 150, dtype=np.int64)
