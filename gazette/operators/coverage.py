@@ -40,3 +40,23 @@ def attached(generation: Column, kind: str, path: Column, revision: Column, day:
     entry = F.struct(F.lit("generated").alias("status"), path.alias("path"), day.alias("generated_at"), revision.alias("generated_from_revision"))
     others = F.map_filter(generation, lambda k, _: k != kind)
     return F.map_concat(others, F.create_map(F.lit(kind), entry))
+
+
+def with_artifact(rows: DataFrame, ident: str = "id") -> DataFrame:
+    """(objects): how many objects of artifact_rows() have an artifact that was made."""
+    return rows.filter(F.col("status").isin("generated", "stale")).agg(F.count_distinct(ident).alias("objects"))
+
+
+def requested(generation: Column, kind: str) -> Column:
+    """The map with a request for an artifact of this kind, where there is none or it was rejected; any other stays."""
+    now = generation[kind]["status"]
+    open_ = now.isNull() | now.isin("none", "rejected")
+    entry = F.struct(F.lit("requested").alias("status"), *[F.lit(None).cast(t).alias(n) for n, t in (("path", "string"), ("generated_at", "date"), ("generated_from_revision", "int"))])
+    return F.when(open_, F.map_concat(F.map_filter(generation, lambda k, _: k != kind), F.create_map(F.lit(kind), entry))).otherwise(generation)
+
+
+def may_attach(generation: Column, kind: str, revision: Column, force: bool) -> Column:
+    """Whether an artifact of this kind may be attached: not over one that is current, but by force."""
+    now = generation[kind]
+    current = (now["status"] == "generated") & (now["generated_from_revision"] >= revision)
+    return F.lit(force) | ~F.coalesce(current, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import written
@@ -38,9 +38,10 @@ def exact(items: DataFrame, seen_keys: DataFrame | None = None, seen_contents: D
     left = items.filter("key_owner is null and content_owner is null").select("rank", "key", "content")
     claims = None
     while True:
-        by_key, by_content = Window.partitionBy("key"), Window.partitionBy("content")
-        firsts = left.withColumns({"k": F.min("rank").over(by_key), "c": F.min("rank").over(by_content)})
-        new = written(firsts.filter("rank = k and rank = c").select("rank", "key", "content"), "dedupe-new")
+        # Minima have partial sums, and ranks are joined by, so that a key that very many items have is no one task's.
+        by_key = left.groupBy("key").agg(F.min("rank").alias("first")).select(F.col("first").alias("rank"))
+        by_content = left.groupBy("content").agg(F.min("rank").alias("first")).select(F.col("first").alias("rank"))
+        new = written(left.join(by_key, "rank", "left_semi").join(by_content, "rank", "left_semi").select("rank", "key", "content"), "dedupe-new")
         if new.isEmpty():
             break
         claims = new if claims is None else claims.unionByName(new)
@@ -75,7 +76,9 @@ def decide(items: DataFrame, threshold: float = 0.85, seen_titles: DataFrame | N
     first = exact(items, **seen)
     titles = first.filter(F.col("verdict") == NEW).select("rank").join(items.select("rank", "tokens"), "rank").withColumn("owner", F.lit(PENDING))
     if seen_titles is not None:
-        back = F.row_number().over(Window.orderBy(F.desc("title")))  # one row for each stored title, without its text
+        # Increasing from partition to partition of the sorted titles; not dense, and no task has all of them.
+        seen_titles = seen_titles.orderBy(F.desc("title"))
+        back = F.monotonically_increasing_id() + 1
         tokens = F.array_distinct(F.filter(F.split("title", " "), lambda w: w != ""))
         titles = titles.unionByName(seen_titles.select((-back).cast("long").alias("rank"), tokens.alias("tokens"), "owner"))
     titles = written(titles, "dedupe-titles")

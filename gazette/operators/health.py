@@ -45,3 +45,8 @@ def states(attempts: DataFrame, source: str, order: list[str], ok: Column, items
     degraded = ~F.col("primary") | looks_broken(F.col(items), F.col("baseline"))
     state = F.when(~F.col("ok"), "failed").when(degraded, "degraded").otherwise("healthy")
     return joined.select(source, state.alias("state"), "streak", F.when(F.col("ok"), F.col(items)).otherwise(0).alias("last_items"))
+
+
+def failed_sources(attempts: DataFrame, source: str, ok: Column) -> DataFrame:
+    """The sources with an attempt that failed, each once."""
+    return attempts.filter(~ok).select(source).distinct()

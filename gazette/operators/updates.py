@@ -65,9 +65,11 @@ def merge(stored: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     return stored.join(changed.select(key), key, "left_anti").unionByName(changed)
 
 
-def supersede(objects: DataFrame, pairs: DataFrame) -> DataFrame:
+def supersede(objects: DataFrame, pairs: DataFrame, day: Column | None = None) -> DataFrame:
     """objects (id, status, replaced_by, replaces, ...) after pairs (old_id, new_id): the old is replaced, the new says by whom.
 
+    Where objects have `revisions`, the old one gains a revision of this day, with its title, summary and hash as they were.
+
     Pairs of an object with itself are ignored, as are those whose old object is replaced already or whose ends are not
     both there; of several for one old object, that of the least new_id counts.
     """
@@ -78,4 +80,14 @@ def supersede(objects: DataFrame, pairs: DataFrame) -> DataFrame:
     of_new = usable.groupBy(F.col("by").alias("id")).agg(F.min("old_id").alias("of"))
     met = objects.join(usable.withColumnRenamed("old_id", "id"), "id", "left").join(of_new, "id", "left")
     met = met.withColumns({"status": F.when(F.col("by").isNotNull(), "replaced").otherwise(F.col("status")), "replaced_by": F.coalesce("by", "replaced_by"), "replaces": F.coalesce("of", "replaces")})
+    if "revisions" in objects.columns:
+        kind = objects.schema["revisions"].dataType.elementType
+        last = F.element_at("revisions", -1) if "summary_snapshot" in kind.names else None
+        own = {
+            "revision": F.size("revisions") + 1, "date": day, "changed_fields": F.array(F.lit("replaced_by"), F.lit("status")), "summary": F.concat(F.lit("Replaced by "), "by"),
+            "content_hash": F.col("content_hash") if "content_hash" in objects.columns else None, "title_snapshot": F.col("title") if "title" in objects.columns else None,
+            "summary_snapshot": None if last is None else last["summary_snapshot"],
+        }
+        entry = F.struct(*[(F.lit(None) if own.get(f.name) is None else own[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+        met = met.withColumn("revisions", F.when(F.col("by").isNotNull(), F.concat("revisions", F.array(entry))).otherwise(F.col("revisions")))
     return met.drop("by", "of")

@@ -42,6 +42,67 @@ def pack_config(packs: DataFrame, versions: tuple[int, ...] = (1,)) -> DataFrame
     )
 
 
+def pack_exists(packs: DataFrame, names: list[str]) -> DataFrame:
+    """PACK000: names that no pack (pack) has."""
+    asked = packs.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    return finding(asked.join(packs.select(F.col("pack").alias("name")), "name", "left_anti"), ERROR, "PACK000", F.col("name"), F.lit("no such pack"))
+
+
+def pack_state(packs: DataFrame, folders: DataFrame) -> DataFrame:
+    """PACK004: packs (pack) that have no state folder (folders: pack)."""
+    return finding(packs.join(folders.select("pack").distinct(), "pack", "left_anti"), ERROR, "PACK004", F.col("pack"), F.lit("no state folder"))
+
+
+def unloadable(packs: DataFrame) -> DataFrame:
+    """PACK005: packs (pack, error) whose configuration cannot be read; the others go on."""
+    return finding(packs.filter("error is not null"), ERROR, "PACK005", F.col("pack"), F.col("error"))
+
+
+def escaping_links(links: DataFrame) -> DataFrame:
+    """SEC001: links (path, target) that lead out of the root, as sources.paths.links_outside() finds them."""
+    return finding(links, ERROR, "SEC001", F.col("path"), F.concat(F.lit("leads to "), F.col("target")))
+
+
+def object_files(documents: DataFrame) -> DataFrame:
+    """OBJ002-004: object folders (path, has_metadata, has_article, is_mapping) without metadata, without an article, or whose metadata is no mapping."""
+    at = F.col("path")
+    return union(
+        [
+            finding(documents.filter("not has_metadata"), ERROR, "OBJ002", at, F.lit("no metadata")),
+            finding(documents.filter("not has_article"), ERROR, "OBJ003", at, F.lit("no article")),
+            finding(documents.filter("has_metadata and not is_mapping"), ERROR, "OBJ004", at, F.lit("the metadata is no mapping")),
+        ]
+    )
+
+
+def schema_version(objects: DataFrame, versions: tuple[int, ...] = (1,), ident: str = "id") -> DataFrame:
+    """SCHEMA001: objects of an unknown schema version, or of none."""
+    bad = objects.filter(F.col("schema_version").isNull() | ~F.col("schema_version").isin(*versions))
+    return finding(bad, ERROR, "SCHEMA001", F.col(ident), F.concat(F.lit("schema version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("missing"))))
+
+
+def registry_readable(registries: DataFrame) -> DataFrame:
+    """REG001: packs (pack, error) whose registry cannot be read."""
+    return finding(registries.filter("error is not null"), ERROR, "REG001", F.col("pack"), F.concat(F.lit("the registry cannot be read: "), F.col("error")))
+
+
+def references(dangling: DataFrame, packs: int) -> DataFrame:
+    """REF001: of crosspack.dangling(), where two packs or more were read; with one, what it refers to may lie in another."""
+    return finding(dangling.filter(F.lit(packs > 1)), ERROR, "REF001", F.col("id"), F.concat_ws(" ", "field", F.col("target").cast("string")))
+
+
+def duplicates(groups: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """XPK001: groups of objects in several packs are warnings, and information once someone has acknowledged them (ids)."""
+    known = acknowledged.select("ids").distinct().withColumn("known", F.lit(True))
+    level = F.when(F.col("known"), INFO).otherwise(WARNING)
+    return groups.join(known, "ids", "left").select(level.alias("level"), F.lit("XPK001").alias("code"), F.col("ids").alias("location"), F.concat(F.lit("same "), "basis").alias("message"))
+
+
+def scan_summary(objects: DataFrame) -> DataFrame:
+    """(packs, objects): how much was checked."""
+    return objects.agg(F.count_distinct("pack").alias("packs"), F.count("*").alias("objects"))
+
+
 def source_urls(sources: DataFrame) -> DataFrame:
     """SEC002: sources whose URL is none of the web."""
     return finding(sources.filter(~F.col("url").rlike("^(?i)https?://")), ERROR, "SEC002", F.col("name"), F.concat(F.lit("not a web URL: "), F.col("url")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import classify, crosspack, dedupe, identity, minting, review, updates
+from ..operators import classify, crosspack, dedupe, identity, minting, review, updates, validate
 from . import registry as r
 from .registry import query, table
 from .views import ITEMS, OBJECTS, items, objects, page_items
@@ -300,10 +300,10 @@ def classify_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = page_items(spark, sf_dir)
     path = urls.canonical_url(F.regexp_replace("url", "^[^:]*://[^/?#]*", "https://all.example"))
-    return p.select(F.col("rank").alias("id"), "pack", tx.digest(path).alias("url_hash"), F.sha2(F.substring("html", -40, 40), 256).alias("content_hash"))
+    return p.select(F.col("rank").alias("id"), "pack", tx.digest(path).alias("url_hash"), F.sha2(F.col("html").cast("binary"), 256).alias("content_hash"))
 
 
-_PAGE_OBJECTS = f"""po AS (SELECT page_id AS id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS pack, {r.digest(r.canonical("regexp_replace(url, '^[^:]*://[^/?#]*', 'https://all.example')"))} AS url_hash, sha256(right(html, 40)) AS content_hash FROM pages)"""
+_PAGE_OBJECTS = f"""po AS (SELECT page_id AS id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS pack, {r.digest(r.canonical("regexp_replace(url, '^[^:]*://[^/?#]*', 'https://all.example')"))} AS url_hash, sha256(html) AS content_hash FROM pages)"""
 _GROUPS = "SELECT '{basis}' AS basis, {key} AS key, string_agg(id::VARCHAR, '+' ORDER BY id::VARCHAR) AS ids, count(DISTINCT pack) AS packs, count(*) AS sides FROM po GROUP BY {key} HAVING count(DISTINCT pack) > 1"
 
 
@@ -321,3 +321,19 @@ def crosspack_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crosspack_outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = crosspack.shared_groups(_page_objects(spark, sf_dir), "url", "url_hash")
     return crosspack.outstanding(groups, groups.filter("sides = 2")).select("basis", "ids")
+
+
+_SIDES = {"url": "url_hash", "content": "content_hash"}
+_ALL_GROUPS = f"{_PAGE_OBJECTS}, u AS ({_GROUPS.format(basis='url', key='url_hash')}), c AS ({_GROUPS.format(basis='content', key='content_hash')}), g AS (SELECT * FROM u UNION ALL SELECT * FROM c WHERE ids NOT IN (SELECT ids FROM u))"
+
+
+@query(f"WITH {_ALL_GROUPS} SELECT basis, key, po.pack, id::VARCHAR AS id, 'id: ' || id::VARCHAR || chr(10) || 'pack: ' || po.pack AS facts FROM g JOIN po ON key = CASE basis WHEN 'url' THEN url_hash ELSE content_hash END")
+def crosspack_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _page_objects(spark, sf_dir)
+    return crosspack.evidence(crosspack.duplicate_groups(o), o, _SIDES, ["id", "pack"])
+
+
+@query(f"WITH {_ALL_GROUPS} SELECT CASE WHEN sides = 2 THEN 'info' ELSE 'warning' END AS level, 'XPK001' AS code, ids AS location, 'same ' || basis AS message FROM g")
+def crosspack_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = crosspack.duplicate_groups(_page_objects(spark, sf_dir))
+    return validate.duplicates(groups, groups.filter("sides = 2"))

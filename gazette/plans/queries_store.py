@@ -174,10 +174,10 @@ def summary_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.article(o, 600).filter("code = 'COPY001'").select("location", "message")
 
 
-@query("SELECT code, count(*) AS findings FROM (SELECT CASE WHEN o.o_orderkey IS NULL THEN 'REG005' WHEN l.k IS NULL THEN 'REG003' WHEN l.path <> o.path THEN 'REG004' END AS code FROM (SELECT o_orderkey, o_orderstatus AS path FROM orders WHERE o_orderkey % 7 <> 0) o FULL JOIN (SELECT l_orderkey AS k, min(l_linestatus) AS path FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1) l ON l.k = o.o_orderkey) WHERE code IS NOT NULL GROUP BY 1")
+@query("SELECT code, count(*) AS findings FROM (SELECT CASE WHEN o.o_orderkey IS NULL THEN 'REG005' WHEN l.k IS NULL THEN 'REG003' WHEN l.path <> o.path THEN 'REG004' END AS code FROM (SELECT o_orderkey, o_orderstatus AS path FROM orders) o FULL JOIN (SELECT l_orderkey AS k, min(l_linestatus) AS path FROM lineitem GROUP BY 1) l ON l.k = o.o_orderkey) WHERE code IS NOT NULL GROUP BY 1")
 def registry_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("path"))
-    known = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_linestatus").alias("path"))
+    held = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("path"))
+    known = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_linestatus").alias("path"))
     return validate.registry(held, known).groupBy("code").agg(F.count("*").alias("findings"))
 
 
@@ -188,11 +188,11 @@ def registry_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.registry_counters(o, counters).select("location", "message")
 
 
-@query("SELECT DISTINCT o_orderkey AS id, 'customer' AS field, o_custkey AS target FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) UNION SELECT l_orderkey, 'parts', l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
+@query("SELECT DISTINCT o_orderkey AS id, 'customer' AS field, o_custkey AS target FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION SELECT l_orderkey, 'parts', l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT c_custkey FROM customer)")
 def ref_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("parts"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")).join(parts, "id", "full_outer")
-    known = table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("id"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return crosspack.dangling(o, known, ["customer", "parts"])
 
 
@@ -347,3 +347,79 @@ def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT strftime(ts, '%G-W%V') AS iso_week, event_type, count(*) AS events FROM events GROUP BY 1, 2")
 def events_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(iso_week(F.col("ts").cast("date")).alias("iso_week"), "event_type").agg(F.count("*").alias("events"))
+
+
+# --- queues, keys, documents
+
+
+@query(f"WITH {OBJECTS}, q AS (SELECT CASE WHEN status = 'replaced' THEN 'archived' WHEN needs_review THEN 'queued' ELSE 'minted' END AS lifecycle FROM objects) SELECT k.lifecycle, count(q.lifecycle) AS items FROM (VALUES ('discovered'), ('queued'), ('approved'), ('minted'), ('archived')) k(lifecycle) LEFT JOIN q USING (lifecycle) GROUP BY 1")
+def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = F.when(F.col("status") == "replaced", "archived").when(F.col("needs_review"), "queued").otherwise("minted")
+    return review.queue_counts(objects(spark, sf_dir).select(stage.alias("lifecycle")))
+
+
+_KEYS = f"{OBJECTS}, k AS (SELECT DISTINCT sha256(id) AS long, substr(sha256(id), 1, 12) AS key FROM objects), p AS (SELECT DISTINCT substr(key, 1, 4) AS prefix FROM k)"
+
+
+@query(f"WITH {_KEYS} SELECT prefix, count(*) AS matches, CASE WHEN count(*) = 1 THEN min(key) END AS key FROM p JOIN k ON substr(key, 1, 4) = prefix GROUP BY 1")
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = objects(spark, sf_dir).select(F.substring(F.sha2("id", 256), 1, 12).alias("short_key"))
+    return review.lookup(keys, keys.select(F.substring("short_key", 1, 4).alias("prefix")))
+
+
+@query("SELECT DISTINCT user_id AS source FROM events WHERE event_type = 'error'")
+def sources_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.failed_sources(attempts(spark, sf_dir), "source", F.col("ok"))
+
+
+@query(f"WITH {_GENERATION} SELECT count(DISTINCT id) AS objects FROM g WHERE status IN ('generated', 'stale')")
+def objects_with_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.with_artifact(coverage.artifact_rows(_artifacts(spark, sf_dir), F.lit(4)))
+
+
+@query(f"WITH {OBJECTS} SELECT count(DISTINCT pack) AS packs, count(*) AS objects FROM objects")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.scan_summary(objects(spark, sf_dir))
+
+
+_LINES = f"""{OBJECTS},
+l AS (
+  SELECT pack, document, grp, CASE WHEN published_date IS NULL THEN '9' ELSE lpad((10000000 - (published_date - DATE '1970-01-01'))::VARCHAR, 9, '0') END || '/' || id AS place,
+         id || ' | ' || coalesce(published_date::VARCHAR, 'undated') || ' | ' || title AS line
+  FROM objects, (VALUES ('INDEX'), ('by-source'), ('by-month')) d(document),
+       LATERAL (SELECT CASE document WHEN 'INDEX' THEN 'all' WHEN 'by-source' THEN coalesce(source_name, 'unknown') ELSE coalesce(strftime(published_date, '%Y-%m'), 'undated') END AS grp))"""
+
+
+@query(f"WITH {_LINES} SELECT pack, document, grp AS \"group\", place, line FROM l UNION ALL SELECT pack, document, grp, '', '## ' || grp || ' (' || count(*)::VARCHAR || ')' FROM l GROUP BY pack, document, grp")
+def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.index_lines(objects(spark, sf_dir))
+
+
+_WEEKS = f"""{OBJECTS}, o AS (SELECT *, strftime(discovered_date, '%G-W%V') AS week FROM objects), r AS (SELECT pack, week, count(*) AS discovered, count(*) FILTER (needs_review) AS queued FROM o GROUP BY 1, 2),
+m AS (SELECT * FROM o WHERE NOT needs_review), c AS (SELECT pack, week, count(*) AS minted FROM m GROUP BY 1, 2),
+u AS (SELECT pack, week, id AS line, row_number() OVER (PARTITION BY pack, week ORDER BY id) AS turn FROM o WHERE status = 'replaced'),
+x AS (SELECT r.*, coalesce(minted, 0) AS minted FROM r LEFT JOIN c USING (pack, week))"""
+
+
+@query(f"""WITH {_WEEKS}
+SELECT pack, week, 0 AS section, '0' AS place, '# ' || pack || ': ' || week AS line FROM x
+UNION ALL SELECT pack, week, 0, '1', 'run r' FROM x
+UNION ALL SELECT pack, week, 4, '0', '## Summary' FROM x
+UNION ALL SELECT pack, week, 4, k, '- ' || n || ': ' || v::VARCHAR FROM x, LATERAL (VALUES ('10', 'discovered', discovered), ('11', 'minted', minted), ('12', 'updated', 0), ('13', 'unchanged', 0), ('14', 'queued', queued), ('15', 'classified', 0)) t(k, n, v)
+UNION ALL SELECT pack, week, 5, '0', '## ' || queued::VARCHAR || ' to review' FROM x WHERE queued > 0
+UNION ALL SELECT pack, week, 5, '1unclassified', '- unclassified: ' || queued::VARCHAR FROM x WHERE queued > 0
+UNION ALL SELECT pack, week, 7, '0', CASE WHEN minted = 0 THEN '## Nothing new: all sources were read' ELSE '## New' END FROM x
+UNION ALL SELECT pack, week, 7, '1/' || tier::VARCHAR || '/' || id, id || ' | ' || tier::VARCHAR || ' | ' || substr(title, 1, 70) FROM m
+UNION ALL SELECT DISTINCT pack, week, 8, '0', '## Updated' FROM u
+UNION ALL SELECT pack, week, 8, '1' || lpad(turn::VARCHAR, 9, '0'), '- ' || line FROM u WHERE turn <= 25
+UNION ALL SELECT pack, week, 8, '2', '- and ' || (count(*) - 25)::VARCHAR || ' more' FROM u GROUP BY pack, week HAVING count(*) > 25""")
+def digest_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = objects(spark, sf_dir).withColumn("week", iso_week(F.col("discovered_date")))
+    queued = F.sum(F.col("needs_review").cast("int"))
+    runs = o.groupBy("pack", "week").agg(F.count("*").alias("discovered"), queued.alias("queued"))
+    runs = runs.select("*", F.lit("r").alias("run_id"), *[F.lit(0).alias(c) for c in ("updated", "unchanged", "classified")])
+    none = o.limit(0).select("pack", "week", F.col("id").alias("line"))
+    backlog = runs.select("pack", "week", F.lit("unclassified").alias("kind"), F.col("queued").alias("tasks"))
+    artifacts = runs.select("pack", "week", F.lit(0).alias("stale"), F.lit(0).alias("requested"))
+    updated = o.filter("status = 'replaced'").select("pack", "week", F.col("id").alias("line"))
+    return digest.digest_lines(runs, o.filter("not needs_review"), none, none, none, updated, backlog, artifacts)
