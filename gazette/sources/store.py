@@ -27,6 +27,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _placed(objects: DataFrame) -> DataFrame:
     parsed = parse_id(F.col("id"))
     return objects.withColumns({"id_year": parsed["year"], "id_month": parsed["month"]})
@@ -47,6 +52,7 @@ def read_object(spark: SparkSession, path: str, ident: str, pack: str) -> DataFr
 def insert_objects(objects: DataFrame, path: str) -> None:
     """Append new objects (with pack). One that is stored already is an error, and nothing is written."""
     spark = objects.sparkSession
+    finish(spark, path)
     stored = read_objects(spark, path)
     again = objects.join(stored.select("id"), "id", "left_semi").select("id").limit(1).collect()
     if again:
@@ -54,12 +60,13 @@ def insert_objects(objects: DataFrame, path: str) -> None:
     _placed(objects).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
-def update_objects(changed: DataFrame, path: str) -> bool:
+def update_objects(changed: DataFrame, path: str, by_user: bool = False) -> bool:
     """Put changed objects in place of the stored ones. Partitions without a change stay as they are; whether anything was written.
 
-    Columns that users own may not differ from what is stored.
+    Columns that users own may not differ from what is stored, unless it is a user who asks for it.
     """
     spark = changed.sparkSession
+    finish(spark, path)
     changed = _placed(changed)
     stored = read_objects(spark, path)
     columns = [c for c in stored.columns if c != "id"]
@@ -68,16 +75,40 @@ def update_objects(changed: DataFrame, path: str) -> bool:
     changed = changed.join(differs, "id", "left_semi")
     if changed.isEmpty():
         return False
-    changed = guard_ownership(stored, changed, "id", list(USER_OWNED))
+    if not by_user:
+        changed = guard_ownership(stored, changed, "id", list(USER_OWNED))
     touched = changed.select(*PARTITIONS).distinct()
     rest = stored.join(touched, list(PARTITIONS), "left_semi").join(changed.select("id"), "id", "left_anti")
     merged = rest.select(*stored.columns).unionByName(changed.select(*stored.columns))
-    staged = f"{path}.staged"  # what is read cannot be overwritten while it is read
-    merged.write.mode("overwrite").parquet(staged)
-    spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    # What is read cannot be overwritten while it is read. Once the staged copy is whole, finish() can be run as often as it takes.
+    merged.write.mode("overwrite").parquet(f"{path}.staged")
+    finish(spark, path)
     return True
 
 
+def finish(spark: SparkSession, path: str) -> bool:
+    """Put a whole staged copy of partitions in their place, and delete it; whether there was one.
+
+    A run that dies meanwhile leaves the staged copy, of which `_SUCCESS` tells that it is whole, and the next one that
+    inserts, updates or asks for this finishes it. A copy that is not whole is deleted: nothing had been changed for it.
+    """
+    staged = f"{path}.staged"
+    if not _exists(spark, staged):
+        return False
+    whole = _exists(spark, f"{staged}/_SUCCESS")
+    if whole:
+        rows = spark.read.schema(f"{OBJECTS}, pack string, id_year int, id_month int").parquet(staged)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    _delete(spark, staged)
+    return whole
+
+
+def write_documents(lines: DataFrame, path: str, by: tuple[str, ...], order: tuple[str, ...]) -> None:
+    """Write lines (by..., order..., line) as text, a folder for each value of `by` with its lines in order; only those folders are replaced."""
+    dealt = lines.repartition(*by).sortWithinPartitions(*by, *order).select(*by, F.col("line").alias("value"))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path)
+
+
 def write_state(table: DataFrame, path: str, key: str) -> None:
     """A state table as JSON lines in order of its key, replaced whole."""
     table.orderBy(key).coalesce(1).write.mode("overwrite").json(path)
