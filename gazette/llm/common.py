@@ -21,9 +21,11 @@ HOT, LEAST_HOT = 1 / 1_000, 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; where it is unset (as in tests), one of our own."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; where it is unset, one of our own in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gazette-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -63,7 +65,7 @@ def text_groups(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 
 def hot_keys(keys: DataFrame) -> DataFrame:
-    """The keys (key: long) that make HOT of all rows or more; at most 4 / 3 / HOT rows, whatever the input.
+    """The keys (key: long) that make HOT of all values of keys' columns (long) or more; at most 4 / 3 / HOT rows, whatever the input.
 
     Of a batch, keys above a quarter of that share are counted on, less a quarter each. What a key of the share loses so is
     at most a quarter, and no more keys can keep three quarters than the bound says.
@@ -71,12 +73,12 @@ def hot_keys(keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            over = n - int(batch.num_rows * HOT / 4)
+            rows = batch.num_rows * batch.num_columns
+            found, n = np.unique(np.concatenate([c.to_numpy(zero_copy_only=False) for c in batch.columns]), return_counts=True)
+            over = n - int(rows * HOT / 4)
             much = over > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[much]), pa.array(over[much]), pa.array(np.where(np.arange(much.sum()) == 0, batch.num_rows, 0))], names=["key", "n", "rows"])
-            if not much.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([batch.num_rows])], names=["key", "n", "rows"])
+            columns = [[None, *found[much].tolist()], [0, *over[much].tolist()], [rows, *[0] * int(much.sum())]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "n", "rows"])
 
     counts = keys.mapInArrow(run, "key long, n long, rows long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     counts = materialize(counts, "hot-keys")

@@ -371,6 +371,12 @@ def test_cuts_do_not_depend_on_the_company():
         assert together.minima(band).tolist() == [m for a in alone for m in a.minima(band).tolist()]
 
 
+def test_places_are_those_of_words():
+    texts = [t or "" for t in HARD] + ["é ü\n\tж 中文  x", " ", "\U0001f600a b"]
+    starts, ends = substring.places([t.encode() for t in texts])
+    assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [m.span() for t in texts for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+
+
 def test_minima_are_brute_force():
     got = substring.Paragraphs([prose(1, 200).encode()])
     for band in range(substring.BANDS):
@@ -520,6 +526,7 @@ def test_hot_keys_and_large_sets_are_parted(spark, monkeypatch):
         sets[k].add(x)
     assert max(map(len, sets.values())) <= 10 and all(any({a, b} <= s for s in sets.values()) for a in p.tolist() for b in p.tolist())
     monkeypatch.undo()
+    monkeypatch.setattr(substring, "BLOCK", 100)
     line = prose(80, 40).split()
     texts = [" ".join([*line[:-1], f"end{k}"]) for k in range(600)]  # a key of many wordings, and a set of more than one block
     keep = {(r.keep_doc_id, r.keep_start) for r in substring.paragraph_groups(docs(spark, [(t,) for t in texts])).collect() if r.n_words == 40}
