@@ -20,7 +20,7 @@ from .common import WS, materialize, prefix, quoted, shuffle_partitions
 #: At most this many texts count as heavy, whatever the input.
 HEAVY = 65_536
 #: A run of so few equal rows is never split.
-RUN = 4_096
+RUN = 256
 
 
 def normalised(text):
