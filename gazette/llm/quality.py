@@ -155,17 +155,21 @@ def _moments(p: str) -> list[Column]:
 
 
 def _step(rows: DataFrame, est: DataFrame, p: str) -> DataFrame:
-    """One concentration step: mean and covariance of the SUPPORT share of each group's rows nearest to each of its estimates."""
+    """One concentration step, written: mean and covariance of the SUPPORT share of each group's rows nearest to each of its estimates."""
     g, k, n = F.col(p + "g"), F.col(p + "k"), F.col(p + "n")
     near = _with_distance(rows, est, p).withColumn(p + "bin", F.floor(16 * F.log2(F.col(p + "d2") + 2.0**-10)))
-    bins = near.groupBy(g, k, p + "bin").agg(*_moments(p))
+    # Written, so that partial sums are dealt by bin: what the windows below order is a few hundred rows for each estimate.
+    bins = materialize(near.groupBy(g, k, p + "bin").agg(*_moments(p)), "quality-bins")
     upto = Window.partitionBy(g, k).orderBy(p + "bin").rowsBetween(Window.unboundedPreceding, -1)
     of_group = Window.partitionBy(g, k).orderBy(p + "bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    written = bins
     bins = bins.withColumns({p + "before": F.coalesce(F.sum(n).over(upto), F.lit(0)), p + "all": F.sum(n).over(of_group)})
     weight = F.least(F.greatest((F.col(p + "all") * SUPPORT - F.col(p + "before")) / n, F.lit(0.0)), F.lit(1.0))
     bins = bins.withColumn(p + "w", weight)
     sums = [p + "n", *[f"{p}s{i}" for i in D], *[f"{p}s{i}{j}" for i, j in PAIRS]]
-    return _from_sums(bins.groupBy(g, k).agg(*[F.sum(F.col(s) * F.col(p + "w")).alias(s) for s in sums]), p, SUPPORT, QUANTILE)
+    est = materialize(_from_sums(bins.groupBy(g, k).agg(*[F.sum(F.col(s) * F.col(p + "w")).alias(s) for s in sums]), p, SUPPORT, QUANTILE), "quality-steps")
+    forget(written)
+    return est
 
 
 def _least(est: DataFrame, p: str) -> DataFrame:
@@ -179,14 +183,16 @@ def _minimised(rows: DataFrame, p: str, most_steps: int) -> DataFrame:
     """The estimate of each group of rows: starts, concentration steps, the least determinant, reweighting."""
     est = materialize(_starts(rows, p), "quality-starts")
     for _ in range(FIRST_STEPS):
-        before, est = est, materialize(_step(rows, est, p), "quality-steps")
+        before, est = est, _step(rows, est, p)
         forget(before)
     before, est = est, materialize(_least(est, p), "quality-best")
     forget(before)
     for _ in range(most_steps):
         # A step that the bins make worse is not taken.
-        both = est.unionByName(_step(rows, est, p).withColumn(p + "k", F.col(p + "k") + 1))
+        step = _step(rows, est, p)
+        both = est.unionByName(step.withColumn(p + "k", F.col(p + "k") + 1))
         better = materialize(_least(both, p), "quality-best")
+        forget(step)
         falls = est.join(better.select(F.col(p + "g").alias(p + "of"), F.col(p + "det").alias(p + "now")), F.col(p + "g") == F.col(p + "of"))
         fall = falls.agg(F.max(F.col(p + "det") - F.col(p + "now"))).first()[0]
         forget(est)
