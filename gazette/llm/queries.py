@@ -77,4 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where it can express the whole query; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op2_content_sort": content_sort.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_content_sort": content_sort.ORACLE_SQL,
+    "op5_chat_format": chat.ORACLE_SQL,
+    "op6_mixing": mixing.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
+}

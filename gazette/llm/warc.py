@@ -241,3 +241,12 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html") + 600), F.lit(0))).first()[0]
     write_warc(records, path, total)
     return read_warcs(spark, path)
+
+
+ORACLE_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM g
+"""
