@@ -15,6 +15,8 @@ from .common import materialize, prefix, quoted, words
 
 #: Rows that one range of keys should hold; a range is one task's work.
 RANGE_ROWS = 50_000
+#: log2 of the ranges that a source has at least, so that one which holds most of a small table is many tasks' work.
+LEAST_BITS = 8
 
 
 def source_targets(sized: DataFrame, source: str, size: str, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
@@ -54,7 +56,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry:
     named = F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
     own = {p + "size": F.size(words(text)).cast("long"), p + "key": key, p + "source": named}
     small = materialize(docs.select(ident, *[v.alias(k) for k, v in own.items()]), "sizes")
-    rows, bits = small.count(), 4
+    rows, bits = small.count(), LEAST_BITS
     while bits < 24 and rows >> bits > RANGE_ROWS:
         bits += 1
     ranged = lambda df: df.withColumn(p + "range", F.shiftright(p + "key", 60 - bits))
