@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -74,9 +74,9 @@ def _prepared(items: DataFrame, run: Run) -> DataFrame:
         {"identity_key": F.col("identity.key"), "identity_basis": F.col("identity.basis"), "content_hash": tx.content_hash(F.col("title"), F.col("summary")), "url_hash": url_hash(F.col("source_url"))}
     )
     graded = identity.gate(identity.grade(items), official=run.official)
-    # A run's items are a page or a feed: one ordering of them is small.
-    rank = F.row_number().over(Window.orderBy(*minting.item_order(), "title", "summary")) - 1
-    return written(graded.withColumn("rank", rank.cast("long")), "harvest-items")
+    # Ranks increase from partition to partition of the sorted items; they are not dense, and no task has all items.
+    ordered = graded.orderBy(*minting.item_order(), "title", "summary")
+    return written(ordered.withColumn("rank", F.monotonically_increasing_id()), "harvest-items")
 
 
 def _decided(items: DataFrame, stored: DataFrame, run: Run) -> DataFrame:

@@ -204,12 +204,14 @@ def update_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the one before it in its source, as if that were stored."""
+    """Each document against the one before it in its source, as if that were stored. Digests go through the window, texts do not."""
     from pyspark.sql import Window
 
     back = Window.partitionBy("source").orderBy("rank")
-    i = items(spark, sf_dir).withColumns({"old_title": F.lag("title").over(back), "old_summary": F.lag("summary").over(back), "old_lang": F.lag("lang").over(back)}).filter("old_title is not null")
-    pairs = [("title", F.col("old_title"), F.col("title")), ("content_hash", tx.content_hash(F.col("old_title"), F.col("old_summary")), tx.content_hash(F.col("title"), F.col("summary"))), ("identity_confidence", F.col("old_lang"), F.col("lang"))]
+    compared = {"title": F.sha2("title", 256), "content_hash": tx.content_hash(F.col("title"), F.col("summary")), "identity_confidence": F.col("lang")}
+    i = items(spark, sf_dir).select("rank", "source", *[value.alias(name) for name, value in compared.items()])
+    i = i.withColumns({f"old_{name}": F.lag(name).over(back) for name in compared}).filter("old_title is not null")
+    pairs = [(name, F.col(f"old_{name}"), F.col(name)) for name in compared]
     return i.withColumn("changed", updates.changed_fields(pairs))
 
 
