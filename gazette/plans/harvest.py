@@ -1,7 +1,9 @@
 """One run over what sources delivered: deduplicate, update what is stored, gate and mint what is new, classify, store.
 
 Updates come before minting, objects before the states that name them, so a run that breaks off can be run again. A
-second run over the same items changes nothing but the run log.
+second run over the same items changes nothing but the run log. Rules are proposed to all stored objects of the pack, and
+set only fields that nothing has set yet. An item that makes no valid object is counted under `errors` and stays queued if
+it was; the others are minted.
 """
 
 from __future__ import annotations
@@ -55,14 +57,18 @@ def harvest(spark: SparkSession, root: str, run: Run, items: DataFrame, rules: d
 
     new = decisions.filter(F.col("verdict").isin(dedupe.NEW, dedupe.NEAR))
     minted, waiting = _gated(new, queue, run)
-    objects = written(_objects(minted, stored, rules, run), "harvest-new")
-    n_new = objects.count()
+    made = written(_objects(minted, stored, rules, run), "harvest-new")
+    objects = made.filter(_sound())
+    n_made, n_new = made.count(), objects.count()
     if n_new:
         store.insert_objects(objects, path)
+    stored = store.read_objects(spark, path).filter(F.col("pack") == run.pack)
+    placed = written(_classified(stored, rules), "harvest-classified")
+    n_placed = placed.count() if store.update_objects(placed, path) else 0
     queue_after = written(_queued(queue, waiting, objects, run), "harvest-queue")
     store.write_state(queue_after, queue_path, "identity_key")
 
-    report = {"items": decisions.count(), "minted": n_new, "updated": n_updated, "queued": queue_after.filter("lifecycle = 'queued'").count()}
+    report = {"items": decisions.count(), "minted": n_new, "updated": n_updated, "classified": n_placed, "errors": n_made - n_new, "queued": queue_after.filter("lifecycle = 'queued'").count()}
     report |= {f"verdict_{r.verdict}": r["items"] for r in dedupe.tally(decisions).collect()}
     store.append_run_log(spark, f"{root}/run-log", {"pack": run.pack, "run": run.run_id, "at": run.now.isoformat()} | report)
     return report
@@ -118,12 +124,40 @@ def _gated(new: DataFrame, queue: DataFrame, run: Run) -> tuple[DataFrame, DataF
     return met.filter(passes), met.filter(~passes)
 
 
+def _sound() -> Column:
+    """Whether a row can be stored: an identifier of the right form, and a title with a slug."""
+    return F.coalesce(parse_id(F.col("id")).isNotNull() & (F.trim("title") != "") & (F.col("slug") != ""), F.lit(False))
+
+
+def _proposed(hay: Column, rules: dict[str, list[classify.Rule]]) -> dict[str, Column]:
+    """What the rules say for each axis, as text; a tier that is no number is none."""
+    found = {axis: classify.first_match(hay, rules.get(axis, []), axis)["value"] for axis in classify.AXES}
+    return found | {"tier": found["tier"].try_cast("int").cast("string")}
+
+
+def _classified(stored: DataFrame, rules: dict[str, list[classify.Rule]]) -> DataFrame:
+    """Stored objects that the rules change, changed: unset and unlocked fields, reading time, and a flag on those that no rule places."""
+    summary = F.coalesce(F.get("revisions", F.size("revisions") - 1)["summary_snapshot"], F.col("title"))
+    hay = classify.haystack(F.col("title"), F.col("slug"), summary)
+    axes, tags = _proposed(hay, rules), classify.all_matches(hay, rules.get("tags", []))
+    locked = lambda c: F.coalesce(F.array_contains("overrides", c), F.lit(False))
+    now = {axis: classify.applicable(F.col(axis), F.lit(DEFAULTS.get(axis)).cast(OBJECT_COLUMNS[axis]), v.cast(OBJECT_COLUMNS[axis]), locked(axis)) for axis, v in axes.items()}
+    now["tags"] = classify.applicable(F.col("tags"), F.array().cast("array<string>"), F.when(F.size(tags) > 0, tags), locked("tags"))
+    now["version"] = classify.applicable(F.col("version"), F.lit("").cast("string"), tx.release_wave(hay), locked("version"))
+    now["reading_time"] = F.when(locked("reading_time"), F.col("reading_time")).otherwise(tx.reading_time(F.concat_ws(" ", "title", summary)).cast("int"))
+    now["needs_review"] = F.coalesce(F.col("needs_review"), F.lit(False)) | classify.needs_review(axes["tier"], axes["category"])
+    moved = F.lit(False)
+    for c, v in now.items():
+        moved = moved | ~F.col(c).eqNullSafe(v)
+    return stored.filter(moved).withColumns(now)
+
+
 def _objects(minted: DataFrame, stored: DataFrame, rules: dict[str, list[classify.Rule]], run: Run) -> DataFrame:
     parsed = stored.select(parse_id(F.col("id")).alias("p")).select(F.lit(run.prefix).alias("prefix"), "p.month_key", "p.sequence")
     exact_day = F.when(F.col("date_confidence") == "exact", F.col("published_date"))
     rows = minting.mint(minted.withColumns({"prefix": F.lit(run.prefix), "dated": exact_day}), minting.counters_after(parsed), published="dated")
     hay = classify.haystack(F.col("title"), tx.slugify(F.col("title")), F.col("summary"))
-    proposed = {axis: classify.first_match(hay, rules.get(axis, []), axis)["value"] for axis in classify.AXES}
+    proposed = _proposed(hay, rules)
     values = {c: F.lit(None) for c in OBJECT_COLUMNS} | {c: F.col(c) for c in rows.columns if c in OBJECT_COLUMNS}
     provenance = F.struct(
         "source_name", F.lit(None).cast("string").alias("source_representation"), F.lit(None).cast("string").alias("adapter_type"), F.lit(1).alias("parser_version"), "extraction_method",

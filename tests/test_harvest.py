@@ -58,3 +58,31 @@ def test_runs(spark, tmp_path):
     assert main(["get", root, "TST-2026-07-002"], spark) == 0 and main(["get", root, "TST-2026-07-099"], spark) == 1
     assert main(["history", root, "TST-2026-07-002"], spark) == 0 and main(["validate", root], spark) == 0
     assert main(["review", root], spark) == 0 and main(["status", root], spark) == 0 and main(["nonsense"], spark) == 2
+
+
+def test_rules_reach_stored_objects(spark, tmp_path):
+    root = str(tmp_path)
+    harvest(spark, root, Run("p", "TST", "run-1", datetime(2026, 8, 2, 6)), items(spark, FIRST), {"tier": rules_from_config({"tier": [{"any": ["generally"], "value": "soon"}]})["tier"]})
+    before = {r.id: r for r in store.read_objects(spark, f"{root}/objects").collect()}
+    assert all(r.needs_review and r.tier == 3 and r.category is None for r in before.values())  # a tier that is no number is no proposal
+
+    locked = store.read_objects(spark, f"{root}/objects").filter("id = 'TST-2026-07-001'").withColumn("overrides", F.array(F.lit("category")))
+    store.update_objects(spark.createDataFrame(locked.collect(), locked.schema), f"{root}/objects", by_user=True)
+    report = harvest(spark, root, Run("p", "TST", "run-2", datetime(2026, 8, 9, 6)), items(spark, FIRST[:1]), RULES)
+    after = {r.id: r for r in store.read_objects(spark, f"{root}/objects").collect()}
+    assert (report["minted"], report["classified"], report["errors"]) == (0, 2, 0)
+    assert (after["TST-2026-07-002"].tier, after["TST-2026-07-002"].category, after["TST-2026-07-002"].tags) == (1, "lake", ["lake"])
+    assert (after["TST-2026-07-001"].category, after["TST-2026-07-001"].tags) == (None, ["lake"])
+
+    other = rules_from_config({"tier": [{"any": ["generally"], "value": 2}], "category": [{"any": ["lake"], "value": "pond"}]})
+    report = harvest(spark, root, Run("p", "TST", "run-3", datetime(2026, 8, 16, 6)), items(spark, FIRST[:1]), other)
+    assert report["classified"] == 0 and {r.id: r for r in store.read_objects(spark, f"{root}/objects").collect()} == after
+
+
+def test_an_unsound_item_loses_no_other(spark, tmp_path):
+    root = str(tmp_path)
+    rows = items(spark, [*FIRST[:2], ("https://b.example/3", "A year of five digits", "three", date(2026, 7, 3))])
+    far = F.when(F.col("title").contains("digits"), F.expr("make_date(12026, 7, 3)")).otherwise(F.col("published_date"))
+    report = harvest(spark, root, Run("p", "TST", "run-1", datetime(2026, 8, 2, 6)), rows.withColumn("published_date", far), RULES)
+    assert (report["minted"], report["errors"]) == (2, 1)
+    assert {r.id for r in store.read_objects(spark, f"{root}/objects").collect()} == {"TST-2026-07-001", "TST-2026-07-002"}
