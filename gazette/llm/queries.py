@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, content_sort, mixing, quality, secrets, simhash, substring, toxicity, warc
+from . import bpe, centroids, chat, content_sort, mixing, periodic, quality, secrets, simhash, substring, toxicity, url_filter, warc
 
 #: Where the box keeps the vocabulary that op7 and the pipeline use.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,18 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.paragraph_groups(table(spark, sf_dir, "documents"), least_run=substring.PASSAGE_WORDS)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_toxicity,
         op10_paragraph_dedup,
+        op11_centroids,
+        op12_periodic_runs,
+        op13_url_filter,
     )
 }
 
@@ -82,4 +97,7 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": chat.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op11_centroids": centroids.ORACLE_SQL,
+    "op12_periodic_runs": periodic.ORACLE_SQL,
+    "op13_url_filter": url_filter.ORACLE_SQL,
 }
