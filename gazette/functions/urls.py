@@ -67,12 +67,15 @@ def fold_path(path: Column) -> Column:
 
 def resolve_doc_link(target: Column, doc_path: str, docs_prefix: str, base_url: str) -> Column:
     """The page that a link of a Markdown document leads to; null for anchors, other files, and links out of the documents."""
-    folder = doc_path.rpartition("/")[0]
+    return doc_link(target, F.lit(doc_path.rpartition("/")[0]), F.lit(docs_prefix), F.lit(base_url))
+
+
+def doc_link(target: Column, folder: Column, docs_prefix: Column, base_url: Column) -> Column:
+    """resolve_doc_link() for documents of many places: the folder of each, the prefix of published paths and the address of their pages."""
     bare = F.regexp_extract(target, "^([^#]*)", 1)
-    path = fold_path(F.concat(F.lit(f"{folder}/" if folder else ""), bare))
-    if docs_prefix:
-        path = F.when(F.startswith(path, F.lit(docs_prefix)), F.substring(path, len(docs_prefix) + 1, 1 << 30)).otherwise(path)
-    page = F.concat(F.lit(base_url.rstrip("/") + "/"), F.regexp_replace(F.regexp_replace(path, r"\.md$", ""), "^/+", ""))
+    path = fold_path(F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), bare))
+    path = F.when(F.startswith(path, docs_prefix), F.substr(path, F.length(docs_prefix) + 1)).otherwise(path)
+    page = F.concat(F.regexp_replace(base_url, "/+$", ""), F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"\.md$", ""), "^/+", ""))
     return (
         F.when(target.isNull() | (target == "") | F.startswith(target, F.lit("#")), None)
         .when(target.rlike("^https?://"), canonical_url(target))

@@ -24,3 +24,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/gazette/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_path(path: str) -> str:
+    """A path as open() takes it; only folders that every machine has mounted have one."""
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        return path
+    if scheme != "file":
+        raise ValueError(f"{path} cannot be opened as a file")
+    return "/" + rest.lstrip("/")

@@ -36,10 +36,10 @@ class Source:
         return self.status in POLLED
 
 
-def as_items(rows: DataFrame, source: Source, *, link: Column, title: Column, summary: Column, date: Column, tags: Column, method: str, selector: Column, source_id: Column | None = None, page: str | None = None, most: int = 120) -> DataFrame:
-    """Items of rows: canonical link, one-line title, summary within the limit, date with its precision, identity."""
-    rows = rows.select(link.alias("link"), tx.single_line(title).alias("title"), summary.alias("said"), date.alias("dated"), tags.alias("raw_tags"), selector.alias("selector"), (F.lit(None).cast("string") if source_id is None else source_id).alias("source_id"))
-    rows = rows.withColumns({"announcement_url": F.when(F.coalesce("link", F.lit("")) != "", canonical_url(F.col("link"))), "summary": tx.truncate_summary(F.when(F.trim("said") != "", F.col("said")).otherwise(F.col("title")), most)})
+def as_items(rows: DataFrame, source: Source, *, link: Column, title: Column, summary: Column, date: Column, tags: Column, method: str, selector: Column, source_id: Column | None = None, page: str | None = None, most: int = 120, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Items of rows, with the columns `carry`: canonical link, one-line title, summary within the limit, date with its precision, identity."""
+    rows = rows.select(*[F.col(c) for c in carry], link.alias("__link"), tx.single_line(title).alias("title"), summary.alias("said"), date.alias("dated"), tags.alias("raw_tags"), selector.alias("selector"), (F.lit(None).cast("string") if source_id is None else source_id).alias("source_id"))
+    rows = rows.withColumns({"announcement_url": F.when(F.coalesce("__link", F.lit("")) != "", canonical_url(F.col("__link"))), "summary": tx.truncate_summary(F.when(F.trim("said") != "", F.col("said")).otherwise(F.col("title")), most)})
     rows = rows.withColumn("identity", resolve(F.col("announcement_url"), F.col("source_id"), F.col("title"), F.col("summary")))
     own = {
         "source_name": F.lit(source.name),
@@ -50,10 +50,10 @@ def as_items(rows: DataFrame, source: Source, *, link: Column, title: Column, su
         "date_precision": F.col("dated.precision"),
         "extraction_method": F.lit(method),
     }
-    return rows.withColumns(own).select(*ITEM_COLUMNS)
+    return rows.withColumns(own).select(*carry, *ITEM_COLUMNS)
 
 
-def table_items(rows: DataFrame, source: Source, method: str, most: int = 120) -> DataFrame:
+def table_items(rows: DataFrame, source: Source, method: str, most: int = 120, carry: tuple[str, ...] = ()) -> DataFrame:
     """Items of table rows (cells; links: array of target and label; section; row).
 
     The first cell that is a date and nothing else dates the row. The first link with a label is its title, else its longest other cell;
@@ -71,4 +71,4 @@ def table_items(rows: DataFrame, source: Source, method: str, most: int = 120) -
     date = F.coalesce(F.col("dated.d"), parse_date_cell(F.lit("")))
     tags = F.when(F.coalesce("section", F.lit("")) != "", F.array("section")).otherwise(F.array().cast("array<string>"))
     place = F.concat(F.coalesce("section", F.lit("")), F.lit(" row "), F.col("row").cast("string"))
-    return as_items(rows, source, link=F.col("linked.target"), title=F.col("title"), summary=summary, date=date, tags=tags, method=method, selector=place, most=most)
+    return as_items(rows, source, link=F.col("linked.target"), title=F.col("title"), summary=summary, date=date, tags=tags, method=method, selector=place, most=most, carry=carry)

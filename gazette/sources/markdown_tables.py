@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_markdown
-from ..functions.urls import resolve_doc_link
+from ..functions.urls import doc_link
 from .items import Source, table_items
 
 HEADERS = ("title", "feature", "description", "month", "date", "update", "name", "learn more", "details")
@@ -19,13 +19,18 @@ def table_rows(documents: DataFrame, doc_path: str, docs_prefix: str, base_url:
     heading = F.regexp_extract("line", r"^#{2,4}\s+(.+?)\s*$", 1)
     upto = Window.partitionBy("path").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("section", F.last(F.when(heading != "", heading), ignorenulls=True).over(upto))
+    return cells_of(lines, F.lit(doc_path.rpartition("/")[0]), F.lit(docs_prefix), F.lit(base_url)).select("cells", "links", "section", "row")
+
+
+def cells_of(lines: DataFrame, folder: Column, docs_prefix: Column, base_url: Column) -> DataFrame:
+    """The lines (line, ...) that are table rows, with cells and links; header and ruler rows are left out."""
     rows = lines.filter(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(r"^\s*\|[\s:|-]+\|\s*$"))
     raw = F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|")
     rows = rows.withColumn("cells", F.transform(raw, strip_markdown))
-    found = F.transform(F.regexp_extract_all("line", F.lit(f"({LINK})"), 1), lambda x: F.struct(resolve_doc_link(F.regexp_extract(x, LINK, 2), doc_path, docs_prefix, base_url).alias("target"), strip_markdown(F.regexp_extract(x, LINK, 1)).alias("label")))
+    found = F.transform(F.regexp_extract_all("line", F.lit(f"({LINK})"), 1), lambda x: F.struct(doc_link(F.regexp_extract(x, LINK, 2), folder, docs_prefix, base_url).alias("target"), strip_markdown(F.regexp_extract(x, LINK, 1)).alias("label")))
     rows = rows.withColumn("links", F.filter(found, lambda x: x["target"].isNotNull()))
     header = F.forall("cells", lambda c: (c == "") | F.lower(c).isin(*HEADERS))
-    return rows.filter(~header).select("cells", "links", "section", "row")
+    return rows.filter(~header)
 
 
 def read_markdown(spark: SparkSession, path: str, source: Source, most: int = 120) -> DataFrame:
