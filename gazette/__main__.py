@@ -128,7 +128,7 @@ def _review(spark: SparkSession, args, objects) -> int:
     _, seen, resolved = review.applied(chosen, next(iter(queues.values())), objects) if queues else (None, objects, chosen.select("key").limit(0))
     resolved = written(crosspack.acknowledge(groups, known, resolved, F.lit(args.today)), "acknowledged")
     store.write_state(resolved, f"{args.root}/acknowledged", "ids")
-    store.update_objects(seen.select(*objects.columns).drop("id_year", "id_month"), f"{args.root}/objects")  # last: it replaces files that the others are read from
+    store.update_objects(seen.select(*objects.columns).drop("id_year", "id_month"), f"{args.root}/objects")
     return int(show(chosen.filter("refused").select("short_key", "kind", "action"), f"{chosen.count()} decided") > 0)
 
 

@@ -53,7 +53,7 @@ def harvest(spark: SparkSession, root: str, run: Run, items: DataFrame, rules: d
 
     changed = written(_updated(decisions, stored, run), "harvest-updates")
     n_updated = changed.count() if store.update_objects(changed.drop("changed"), path) else 0
-    stored = store.read_objects(spark, path).filter(F.col("pack") == run.pack)  # the update has replaced files
+    stored = store.read_objects(spark, path).filter(F.col("pack") == run.pack)  # with what has been updated
 
     new = decisions.filter(F.col("verdict").isin(dedupe.NEW, dedupe.NEAR))
     minted, waiting = _gated(new, queue, run)

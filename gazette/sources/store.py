@@ -1,4 +1,4 @@
-"""The store: objects as Parquet by pack and month, state tables, and the lock of a single writer."""
+"""The store: objects by pack and month and state tables, both with versions, and the lock of a single writer."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ import json
 import os
 import time
 from contextlib import contextmanager
+from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import parse_id
 from ..operators.updates import guard_ownership
 from ..schema import OBJECTS, USER_OWNED
+from .snapshots import Table
 
 PARTITIONS = ("pack", "id_year", "id_month")
 STALE_LOCK_S = 3600
@@ -22,109 +25,91 @@ class StoreError(RuntimeError):
     pass
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _placed(objects: DataFrame) -> DataFrame:
     parsed = parse_id(F.col("id"))
     return objects.withColumns({"id_year": parsed["year"], "id_month": parsed["month"]})
 
 
-def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """All stored objects; none where nothing has been written."""
-    schema = f"{OBJECTS}, pack string, id_year int, id_month int"
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+def objects_table(spark: SparkSession, path: str) -> Table:
+    return Table(spark, path, f"{OBJECTS}, pack string, id_year int, id_month int", PARTITIONS)
+
+
+def read_objects(spark: SparkSession, path: str, version: int | None = None, as_of: datetime | None = None) -> DataFrame:
+    """All stored objects of the last version, or of one by its number or its time; none where nothing has been written. The version is pinned: later changes do not reach what has been read."""
+    table = objects_table(spark, path)
+    return table.read(table.version(version, as_of))
 
 
 def read_object(spark: SparkSession, path: str, ident: str, pack: str) -> DataFrame:
-    """One object: the partitions of its pack and month are all that is read."""
+    """One object: the partition of its pack and month is all that is read."""
     _, year, month, _ = ident.split("-")
-    return read_objects(spark, path).filter((F.col("pack") == pack) & (F.col("id_year") == int(year)) & (F.col("id_month") == int(month)) & (F.col("id") == ident))
+    return objects_table(spark, path).read(only=[(pack, int(year), int(month))]).filter(F.col("id") == ident)
+
+
+def _partitions(objects: DataFrame) -> list[tuple]:
+    """The partitions that objects fall into; a collection has twelve a year."""
+    return [tuple(r) for r in objects.select(*PARTITIONS).distinct().collect()]
 
 
 def insert_objects(objects: DataFrame, path: str) -> None:
-    """Append new objects (with pack). One that is stored already is an error, and nothing is written."""
-    spark = objects.sparkSession
-    finish(spark, path)
-    stored = read_objects(spark, path)
-    again = objects.join(stored.select("id"), "id", "left_semi").select("id").limit(1).collect()
+    """Append new objects (with pack). One that is stored already, in any pack, or comes twice, is an error, and nothing is written. Only months of the new objects are read."""
+    table = objects_table(objects.sparkSession, path)
+    objects = _placed(objects)
+    base = table.version()
+    months = {p[1:] for p in _partitions(objects)}
+    stored = [v for v in base.values() if v[1:] in months]
+    ids = table.read(base, stored).select("id").unionByName(objects.select("id"))
+    again = objects.select("id").join(ids.groupBy("id").count().filter("count > 1"), "id", "left_semi").limit(1).collect()
     if again:
         raise StoreError(f"{again[0][0]} is stored already")
-    _placed(objects).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    table.commit(base, table.stage(objects), reads=stored)
 
 
 def update_objects(changed: DataFrame, path: str, by_user: bool = False) -> bool:
-    """Put changed objects in place of the stored ones. Partitions without a change stay as they are; whether anything was written.
+    """Put changed objects in place of the stored ones. Partitions without a change keep their files; whether anything was written.
 
-    Columns that users own may not differ from what is stored, unless it is a user who asks for it.
+    Columns that users own may not differ from what is stored, unless it is a user who asks for it. Objects that are not stored are added.
     """
-    spark = changed.sparkSession
-    finish(spark, path)
+    table = objects_table(changed.sparkSession, path)
     changed = _placed(changed)
-    stored = read_objects(spark, path)
+    base = table.version()
+    stored = table.read(base, _partitions(changed))
     columns = [c for c in stored.columns if c != "id"]
     comparable = lambda df: df.select("id", F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in columns]))).alias("h"))
     differs = comparable(changed).join(comparable(stored), ["id", "h"], "left_anti").select("id")
     changed = changed.join(differs, "id", "left_semi")
-    if changed.isEmpty():
+    touched = _partitions(changed)
+    if not touched:
         return False
+    stored = table.read(base, touched)
     if not by_user:
         changed = guard_ownership(stored, changed, "id", list(USER_OWNED))
-    touched = changed.select(*PARTITIONS).distinct()
-    rest = stored.join(touched, list(PARTITIONS), "left_semi").join(changed.select("id"), "id", "left_anti")
-    merged = rest.select(*stored.columns).unionByName(changed.select(*stored.columns))
-    # What is read cannot be overwritten while it is read. Once the staged copy is whole, finish() can be run as often as it takes.
-    merged.write.mode("overwrite").parquet(f"{path}.staged")
-    finish(spark, path)
+    rest = stored.join(changed.select("id"), "id", "left_anti")
+    table.commit(base, table.stage(rest.unionByName(changed.select(*stored.columns))), touched)
     return True
 
 
-def finish(spark: SparkSession, path: str) -> bool:
-    """Put a whole staged copy of partitions in their place, and delete it; whether there was one.
-
-    A run that dies meanwhile leaves the staged copy, of which `_SUCCESS` tells that it is whole, and the next one that
-    inserts, updates or asks for this finishes it. A copy that is not whole is deleted: nothing had been changed for it.
-    """
-    staged = f"{path}.staged"
-    if not _exists(spark, staged):
-        return False
-    whole = _exists(spark, f"{staged}/_SUCCESS")
-    if whole:
-        rows = spark.read.schema(f"{OBJECTS}, pack string, id_year int, id_month int").parquet(staged)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
-    _delete(spark, staged)
-    return whole
-
-
 def write_documents(lines: DataFrame, path: str, by: tuple[str, ...], order: tuple[str, ...]) -> None:
     """Write lines (by..., order..., line) as text, a folder for each value of `by` with its lines in order; only those folders are replaced."""
     dealt = lines.repartition(*by).sortWithinPartitions(*by, *order).select(*by, F.col("line").alias("value"))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path)
 
 
-def write_state(table: DataFrame, path: str, key: str) -> None:
-    """A state table as JSON lines in order of its key, replaced whole."""
-    table.orderBy(key).coalesce(1).write.mode("overwrite").json(path)
+def write_state(table: DataFrame, path: str, key: str, batch: tuple[str, int] | None = None) -> None:
+    """A state table in place of what it was, as one version. Each task's rows are in order of the key. What is replaced may be what it was made from."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+    Table(table.sparkSession, path, schema).overwrite(table.sortWithinPartitions(key), batch)
 
 
-def read_state(spark: SparkSession, path: str, schema: str, damaged: str = "raise") -> DataFrame:
+def read_state(spark: SparkSession, path: str, schema: str, damaged: str = "raise", version: int | None = None) -> DataFrame:
     """A state table; empty where there is none. damaged: `raise` for what cannot be lost, `empty` for what can be built again."""
-    empty = spark.createDataFrame([], schema)
-    if not _exists(spark, path):
-        return empty
-    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path).cache()
-    if rows.filter("_broken is not null").isEmpty():
-        return rows.drop("_broken")
-    if damaged == "raise":
-        raise StoreError(f"{path} is damaged")
-    return empty
+    table = Table(spark, path, schema)
+    try:
+        return table.read(table.version(version))
+    except (json.JSONDecodeError, KeyError, TypeError, AnalysisException) as e:
+        if damaged == "raise":
+            raise StoreError(f"{path} is damaged") from e
+        return spark.createDataFrame([], schema)
 
 
 def append_run_log(spark: SparkSession, path: str, row: dict) -> None:

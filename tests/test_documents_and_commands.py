@@ -167,18 +167,6 @@ def test_a_replaced_object_gains_a_revision(spark):
     assert len(after["TST-2026-01-002"].revisions) == 1
 
 
-def test_a_whole_staged_copy_is_finished_and_another_deleted(spark, tmp_path):
-    path = str(tmp_path / "objects")
-    df = spark.createDataFrame([(*document("TST-2026-01-001").values(), "p")], f"{OBJECTS}, pack string")
-    store.insert_objects(df, path)
-    later = store.read_objects(spark, path).withColumn("title", F.lit("later"))
-    later.write.parquet(f"{path}.staged")
-    assert store.finish(spark, path) and store.read_objects(spark, path).first().title == "later" and not store.finish(spark, path)
-    store.read_objects(spark, path).withColumn("title", F.lit("never")).write.parquet(f"{path}.staged")
-    os.unlink(f"{path}.staged/_SUCCESS")
-    assert not store.finish(spark, path) and store.read_objects(spark, path).first().title == "later" and not os.path.exists(f"{path}.staged")
-
-
 def test_commands(spark, folder, tmp_path, capsys):
     root = str(tmp_path / "store")
     assert main(["import", root, str(folder)], spark) == 0 and "OBJ004" in capsys.readouterr().out

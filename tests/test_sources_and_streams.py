@@ -114,16 +114,23 @@ def test_the_store(spark, tmp_path):
         store.update_objects(an_object(spark, "AB-2026-05-001", notes="theirs"), path)
     assert {r.id: r.title for r in store.read_objects(spark, path).collect()} == {"AB-2026-05-001": "new", "AB-2026-06-001": "t"}
     one = store.read_object(spark, path, "AB-2026-06-001", "p")
-    assert one.count() == 1 and "PartitionFilters: [isnotnull(pack" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 1 and all("id_year=2026/id_month=6/" in f for f in one.inputFiles())
+    assert [store.read_objects(spark, path, n).filter("title = 'new'").count() for n in (0, 1, 2)] == [0, 0, 1]
+    twice = an_object(spark, "AB-2026-07-001")
+    with pytest.raises(store.StoreError):
+        store.insert_objects(twice.unionByName(twice), path)
 
 
 def test_states_and_locks(spark, tmp_path):
     path = str(tmp_path / "state")
     assert store.read_state(spark, path, "k string, v int").count() == 0
     store.write_state(spark.createDataFrame([("b", 1), ("a", 2)], "k string, v int"), path, "k")
-    assert [tuple(r) for r in store.read_state(spark, path, "k string, v int").collect()] == [("a", 2), ("b", 1)]
-    (tmp_path / "broken").mkdir()
-    (tmp_path / "broken" / "x.json").write_text("{nope")
+    pinned = store.read_state(spark, path, "k string, v int")
+    store.write_state(pinned.withColumn("v", F.col("v") + 1), path, "k")  # from what it replaces
+    assert sorted(tuple(r) for r in pinned.collect()) == [("a", 2), ("b", 1)]
+    assert sorted(tuple(r) for r in store.read_state(spark, path, "k string, v int").collect()) == [("a", 3), ("b", 2)]
+    (tmp_path / "broken" / "versions").mkdir(parents=True)
+    (tmp_path / "broken" / "versions" / "000000000001.json").write_text("{nope")
     assert store.read_state(spark, str(tmp_path / "broken"), "k string", damaged="empty").count() == 0
     with pytest.raises(store.StoreError):
         store.read_state(spark, str(tmp_path / "broken"), "k string")
