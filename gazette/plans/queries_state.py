@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import automaton
 from ..sources.snapshots import Table
 from ..streaming.minting import Minter
 from ..streaming.seen import SeenIndex
 from . import registry as r
-from .queries_items import _MINT, _orders_items
+from .queries_items import _HAY, _MINT, _TAGS, RULES, _first_sql, _hay, _orders_items
+from .queries_store import FOLDED
 from .registry import query, table
 from .shared import shared_dir
+from .text_index import TextIndex
+from .title_index import TitleIndex
 from .views import ITEMS, OBJECTS, items, objects
 
 
@@ -73,3 +77,42 @@ def mint_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, kind in enumerate(kinds):
         minter.mint(rows.filter(F.col("o_orderpriority") == kind), number)
     return minter.mint(rows, len(kinds)).select("o_orderkey", "id")
+
+
+_TITLE_SETS = f"""{ITEMS}, t AS (SELECT rank, list_distinct(list_filter(string_split({r.norm_title('title')}, ' '), lambda w: w <> '')) AS w FROM items),
+sets AS (SELECT list_sort(w) AS w, min(rank) AS owner FROM t WHERE len(w) > 0 GROUP BY 1),
+scored AS (SELECT t.rank AS doc_id, owner, len(list_intersect(t.w, sets.w)) AS c, len(t.w) + len(sets.w) AS n FROM t, sets WHERE t.rank % 100 = 0)"""
+
+
+@query(f"WITH {_TITLE_SETS} SELECT doc_id, owner, round(c / (n - c), 9) AS similarity FROM scored WHERE c / (n - c) >= 0.85")
+def title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth document's title against an index of all titles, added in two batches, one of which is tried twice."""
+    titles = items(spark, sf_dir).select("rank", F.col("rank").cast("string").alias("owner"), tx.title_tokens(F.col("title")).alias("tokens"))
+    index = TitleIndex(spark, new_folder(spark, "titles"), 0.85, buckets=16)
+    index.freeze(titles)
+    middle = titles.agg(F.percentile_approx("rank", 0.5)).first()[0] or 0
+    for number, half in ((0, titles.filter(F.col("rank") <= middle)), (1, titles.filter(F.col("rank") > middle)), (1, titles)):
+        index.add(half, number, "rank")
+    found = index.probe(titles.filter("rank % 100 = 0"), "rank")
+    return found.select(F.col("rank").alias("doc_id"), F.col("owner").cast("long").alias("owner"), F.round("similarity", 9).alias("similarity"))
+
+
+@query(f"WITH {OBJECTS} SELECT id FROM objects WHERE contains({FOLDED}, 'and the')")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_text by postings of trigrams."""
+    o = objects(spark, sf_dir)
+    hay = F.concat_ws(" ", "title", "category", F.array_join("tags", " "))
+    index = TextIndex(spark, new_folder(spark, "grams"), buckets=16)
+    index.add(o.select("id", hay.alias("text")), 0)
+    return index.search(o, "And, THE", hay).select("id")
+
+
+@query(
+    f"WITH {_HAY} SELECT rank AS doc_id, {_first_sql('tier', 'value')} AS tier, {_first_sql('tier', 'name')} AS tier_by, {_first_sql('category', 'value')} AS category, {_first_sql('category', 'name')} AS category_by, "
+    f"array_to_string(list_sort(list_filter({_TAGS}, lambda x: x IS NOT NULL)), ',') AS tags FROM hay"
+)
+def classify_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All axes of all documents by one automaton."""
+    found = automaton.classified(_hay(spark, sf_dir), "h", RULES)
+    axes = [F.col(f"{a}.{part}").alias(name) for a in ("tier", "category") for part, name in (("value", a), ("matched_by", f"{a}_by"))]
+    return found.select("doc_id", *axes, F.array_join("tags", ",").alias("tags"))
