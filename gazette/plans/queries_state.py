@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import automaton
 from ..sources.snapshots import Table
+from ..streaming.health import snapshot, source_health, state_store
 from ..streaming.minting import Minter
 from ..streaming.seen import SeenIndex
 from . import registry as r
 from .queries_items import _HAY, _MINT, _TAGS, RULES, _first_sql, _hay, _orders_items
 from .queries_store import FOLDED
 from .registry import query, table
-from .shared import shared_dir
+from .shared import shared_dir, written
 from .text_index import TextIndex
 from .title_index import TitleIndex
-from .views import ITEMS, OBJECTS, items, objects
+from .views import ATTEMPTS, ITEMS, OBJECTS, attempts, items, objects
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -116,3 +117,25 @@ def classify_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = automaton.classified(_hay(spark, sf_dir), "h", RULES)
     axes = [F.col(f"{a}.{part}").alias(name) for a in ("tier", "category") for part, name in (("value", a), ("matched_by", f"{a}_by"))]
     return found.select("doc_id", *axes, F.array_join("tags", ",").alias("tags"))
+
+
+_FOLD = f"""{ATTEMPTS}, w AS (SELECT *, list(items) FILTER (ok) OVER before AS earlier, list(items) FILTER (ok) OVER upto AS counted, max(CASE WHEN ok THEN event_id END) OVER upto AS last_ok
+  FROM attempts WINDOW before AS (PARTITION BY source ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), upto AS (PARTITION BY source ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT *, CASE WHEN len(earlier) >= 3 THEN list_aggregate(earlier[-26:], 'median') END AS was, CASE WHEN len(counted) >= 3 THEN list_aggregate(counted[-26:], 'median') END AS baseline,
+  count(*) FILTER (NOT ok) OVER (PARTITION BY source, last_ok ORDER BY event_id) AS streak FROM w),
+f AS (SELECT *, lag(streak, 1, 0) OVER (PARTITION BY source ORDER BY event_id) AS before FROM m)"""
+
+
+@query(
+    f"""WITH {_FOLD} SELECT source::VARCHAR AS source, event_id AS attempt, CASE WHEN NOT ok THEN 'failed' WHEN NOT is_primary OR coalesce(was > 0 AND items < was * 0.34, false) THEN 'degraded' ELSE 'healthy' END AS state,
+streak::INT AS consecutive_failures, round(baseline, 6) AS baseline, streak >= 3 AS needs_alert, CASE WHEN streak = 3 THEN 'opened' WHEN streak = 0 AND before >= 3 THEN 'closed' END AS alert FROM f"""
+)
+def health_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every source after every attempt, by the stream's own processor over two halves, the second from the first's snapshot."""
+    a = attempts(spark, sf_dir).select(F.col("source").cast("string").alias("source"), F.col("event_id").alias("attempt"), "ok", "items", F.col("is_primary").alias("primary"))
+    middle = a.agg(F.percentile_approx("attempt", 0.5)).first()[0] or 0
+    with state_store(spark):
+        first = written(source_health(a.filter(F.col("attempt") <= middle)), "health")
+        second = written(source_health(a.filter(F.col("attempt") > middle), snapshot(first)), "health")
+    columns = ("source", "attempt", "state", "consecutive_failures", F.round("baseline", 6).alias("baseline"), "needs_alert", "alert")
+    return first.unionByName(second).select(*columns)

@@ -11,8 +11,8 @@ from gazette.sources.feeds import SourceError, read_feed
 from gazette.sources.html_tables import read_html
 from gazette.sources.items import Source
 from gazette.sources.markdown_tables import read_markdown
+from gazette.streaming import health
 from gazette.streaming.events import incremental, unseen, weekly
-from gazette.streaming.health import source_health
 
 RSS = """<?xml version="1.0"?><rss><channel><title>t</title>
 <item><title>Clear  Lake is GA</title><link>https://Blog.example/a/?utm_source=x#t</link><description>short</description><guid>g1</guid><pubDate>Tue, 07 Jul 2026 10:00:00 GMT</pubDate><category>b</category><category>a</category></item>
@@ -150,18 +150,44 @@ def run_to_end(spark, stream, name):
 
 
 def test_health_over_a_stream(spark, tmp_path):
-    rows = [("s", k, k not in (4, 5, 6), 10 if k < 8 else 1, True) for k in range(9)] + [("t", 0, True, 5, False)]
+    rows = [("s", k, k not in (4, 5, 6, 9), 10 if k < 8 else 1, True) for k in range(10)] + [("t", 0, True, 5, False), ("u", 0, False, 0, True), ("u", 1, False, 0, True)]
     df = spark.createDataFrame(rows, "source string, attempt long, ok boolean, items int, primary boolean")
-    df.filter("attempt < 4").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = source_health(stream).writeStream.outputMode("append").format("memory").queryName("health").start()
-    query.processAllAvailable()
-    df.filter("attempt >= 4").write.mode("append").parquet(str(tmp_path / "in"))
-    query.processAllAvailable()
-    query.stop()
-    got = {(r.source, r.attempt): r for r in spark.table("health").collect()}
-    assert len(got) == 10 and got["s", 6].needs_alert and not got["s", 7].needs_alert and got["s", 6].consecutive_failures == 3
+    path, checkpoint, out = (str(tmp_path / n) for n in ("in", "checkpoint", "out"))
+
+    def run(initial=None, to=(checkpoint, out)):
+        with health.state_store(spark):
+            stream = spark.readStream.schema(df.schema).parquet(path)
+            query = health.source_health(stream, initial).writeStream.option("checkpointLocation", to[0]).format("parquet").trigger(availableNow=True).start(to[1])
+            query.awaitTermination()
+        return {(r.source, r.attempt): r for r in spark.read.parquet(to[1]).collect()}
+
+    df.filter("attempt < 6").write.parquet(path)
+    run()
+    df.filter("attempt >= 6").write.mode("append").parquet(path)
+    got = run()  # from the checkpoint
+    assert len(got) == 13 and got["s", 6].needs_alert and not got["s", 7].needs_alert and got["s", 6].consecutive_failures == 3
     assert [got["s", k].state for k in (3, 4, 7, 8)] == ["healthy", "failed", "healthy", "degraded"] and got["t", 0].state == "degraded"
+    assert {k: r.alert for k, r in got.items() if r.alert} == {("s", 6): "opened", ("s", 7): "closed"} and got["s", 6].alert_since == 6 and got["s", 7].alert_since is None
+    states = {k: (r.state, r.consecutive_failures, r.baseline, r.alert) for k, r in got.items()}
+    folded = {}
+    for source in "stu":
+        state = {}
+        for r in sorted(x for x in rows if x[0] == source):
+            state = health.fold(state, *r[2:])
+            folded[source, r[1]] = (state["state"], state["failures"])
+    assert {k: v[:2] for k, v in states.items()} == folded
+
+    # A new query that starts from a snapshot of the old one's states goes on as if it were the old one.
+    path = str(tmp_path / "later")
+    more = [("s", 10, False, 0, True), ("s", 11, False, 0, True), ("u", 2, False, 0, True), ("off", 1, False, 0, True), ("v", 1, True, 3, True)]
+    spark.createDataFrame(more, df.schema).write.parquet(path)
+    off = spark.createDataFrame([("off", "disabled", 0, None, None)], "source string, state string, consecutive_failures int, alert_since long, counts array<double>")
+    start = health.snapshot(spark.read.parquet(out)).unionByName(off)
+    later = run(spark.createDataFrame(start.collect(), start.schema), (str(tmp_path / "c2"), str(tmp_path / "o2")))
+    assert {k: (r.state, r.consecutive_failures, r.alert) for k, r in later.items()} == {
+        ("s", 10): ("failed", 2, None), ("s", 11): ("failed", 3, "opened"), ("u", 2): ("failed", 3, "opened"), ("off", 1): ("disabled", 0, None), ("v", 1): ("healthy", 0, None)}
+    assert later["s", 11].baseline == got["s", 9].baseline
+    assert sorted(map(tuple, health.open_alerts(spark.read.parquet(str(tmp_path / "o2"))).collect())) == [("s", 11, 3), ("u", 2, 3)]
 
 
 def test_weeks_and_keys_over_a_stream(spark, tmp_path):
