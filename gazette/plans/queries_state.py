@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import automaton
 from ..sources.snapshots import Table
+from ..streaming.crosspack import CrossPack, sides_of
 from ..streaming.health import snapshot, source_health, state_store
 from ..streaming.minting import Minter
 from ..streaming.seen import SeenIndex
 from . import registry as r
-from .queries_items import _HAY, _MINT, _TAGS, RULES, _first_sql, _hay, _orders_items
+from .queries_items import _ALL_GROUPS, _HAY, _MINT, _TAGS, RULES, _first_sql, _hay, _orders_items, _page_objects
 from .queries_store import FOLDED
 from .registry import query, table
 from .shared import shared_dir, written
@@ -139,3 +140,14 @@ def health_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         second = written(source_health(a.filter(F.col("attempt") > middle), snapshot(first)), "health")
     columns = ("source", "attempt", "state", "consecutive_failures", F.round("baseline", 6).alias("baseline"), "needs_alert", "alert")
     return first.unionByName(second).select(*columns)
+
+
+@query(f"WITH {_ALL_GROUPS}, r AS (SELECT basis, key, sides, packs, (SELECT min(id::VARCHAR) FROM po WHERE g.key = CASE basis WHEN 'url' THEN url_hash ELSE content_hash END) AS first_id FROM g) SELECT * FROM r")
+def crosspack_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-pack groups of all pages, kept up over two halves and a batch that comes twice."""
+    o = _page_objects(spark, sf_dir)
+    kept = CrossPack(spark, new_folder(spark, "crosspack"), buckets=16)
+    middle = o.agg(F.percentile_approx("id", 0.5)).first()[0] or 0
+    for number, part in ((0, o.filter(F.col("id") <= middle)), (1, o.filter(F.col("id") > middle)), (1, o)):
+        kept.apply(sides_of(part, {"url": "url_hash", "content": "content_hash"}), number)
+    return kept.groups().select("basis", "key", "sides", "packs", "first_id")
