@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ TITLE_NOISE = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def single_line(text: Column) -> Column:
     """White space collapsed to blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE, " "))

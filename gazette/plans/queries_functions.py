@@ -35,7 +35,13 @@ def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select(F.col("rank").alias("doc_id"), text.content_hash(F.col("title"), F.col("summary")).alias("content_hash"))
 
 
-@query()
+_VISIBLE = r"""replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?--\s*>|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)|<[a-zA-Z/!?][^>]*>', ' ', 'g'), '<', ' < ')"""
+#: The entities that the pages have.
+for _name, _is in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _VISIBLE = f"regexp_replace({_VISIBLE}, '&{_name};?', '{_is}', 'g')"
+
+
+@query(f"SELECT page_id, {r.line(_VISIBLE)} AS page_text FROM pages")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     visible = html_to_text(F.coalesce("html", F.lit("")))
     return table(spark, sf_dir, "pages").select("page_id", visible.alias("page_text"))
