@@ -14,19 +14,21 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import coverage, crosspack, digest, history, retrieve, review, updates, validate
+from .plans import integrity, weekly
 from .plans.harvest import QUEUE, Run, harvest
+from .plans.integrity import ACKNOWLEDGED
 from .plans.shared import written
-from .schema import OBJECT_COLUMNS, PROPOSED, SCHEMA_VERSION, VOCABULARIES
 from .sources import documents, packs, store, templates
 from .sources.discover import discover
+from .sources.registry import Registry
 
 COMMANDS = {
     "search": "objects by filters, ranked", "get": "one object in full", "history": "an object's revisions and their problems",
     "validate": "integrity findings", "review": "what waits for a person, and decisions on it", "status": "artifacts by kind and status",
     "discover": "items of landed sources", "harvest": "take landed sources into the store", "index": "write the index documents",
     "supersede": "one object replaces another", "generate": "contexts for artifacts of an object", "import": "take metadata documents into the store",
+    "baseline": "accept the repeated changes that are there now",
 }
-ACKNOWLEDGED = "ids string, basis string, acknowledged_on date"
 KINDS = {"tier": int, "since": date.fromisoformat, "until": date.fromisoformat}
 FLAGS = ("needs_review", "stale")
 
@@ -69,6 +71,11 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--limit", type=int)
         if name == "validate":
             p.add_argument("--strict", action="store_true")
+            p.add_argument("--packs", help="folder of collections: packs/PACK/pack.yml")
+            p.add_argument("--documents", help="folder of collections: documents/PACK/knowledge/yyyy/mm/NAME; needs --packs")
+            p.add_argument("--pack", action="append", help="a collection that must be there")
+        if name == "baseline":
+            p.add_argument("--today", type=date.fromisoformat, required=True)
     return top
 
 
@@ -82,28 +89,6 @@ def show(df, empty: str) -> int:
     return n
 
 
-def findings(objects, acknowledged):
-    known = objects.select("id")
-    refs = ["prerequisites", "builds_on", "related_topics", "replaced_by", "replaces"]
-    lost = crosspack.dangling(objects, known, refs)
-    shared = crosspack.duplicate_groups(objects)
-    latest = history.chain_problems(history.exploded(objects), objects.select("id", "content_hash"))
-    runs = history.repeated_runs(history.exploded(objects).withColumn("changed_fields", F.array_sort("changed_fields")))
-    return validate.union(
-        [
-            *[validate.vocabulary(objects, column, allowed) for column, allowed in VOCABULARIES.items()],
-            validate.duplicate_ids(objects, "id", ["pack"]),
-            validate.schema_version(objects, (SCHEMA_VERSION,)),
-            validate.identifiers(objects.withColumns({"prefix": F.substring_index("id", "-", 1), "path": F.concat_ws("/", F.lpad(F.col("id_year").cast("string"), 4, "0"), F.lpad(F.col("id_month").cast("string"), 2, "0"), "id")})),
-            validate.overrides(objects, list(PROPOSED), list(OBJECT_COLUMNS)),
-            validate.references(lost, objects.select("pack").distinct().count()),
-            validate.duplicates(shared, acknowledged),
-            validate.finding(latest, validate.ERROR, "REV001", F.col("id"), F.concat_ws(" ", "problem", "revision")),
-            validate.finding(runs, validate.WARNING, "REV002", F.col("id"), F.concat_ws("-", "first_revision", "last_revision")),
-        ]
-    )
-
-
 def _review(spark: SparkSession, args, objects) -> int:
     """Show what waits, or decide it: queued items, flagged objects and groups across collections."""
     packs = [r.pack for r in objects.select("pack").distinct().collect()]
@@ -147,7 +132,7 @@ def _harvest(spark: SparkSession, args) -> int:
         show(found.items.select("source_name", "published_date", "title"), "nothing found")
         return 0
     run = Run(args.pack, mine.id_prefix, f"run-{args.now:%Y-%m-%dT%H-%M-%SZ}", args.now, mine.near_duplicate_threshold)
-    for name, n in harvest(spark, args.root, run, found.items, rules[args.pack]).items():
+    for name, n in harvest(spark, args.root, run, found.items, rules[args.pack], found.attempts).items():
         print(f"{name}\t{n}")
     return 0
 
@@ -171,16 +156,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 1
         return int(show(history.chain_problems(rows, one.select("id", "content_hash")).select("problem", "revision"), "the chain is sound") > 0)
     elif args.command == "validate":
-        found = findings(objects, store.read_state(spark, f"{args.root}/acknowledged", ACKNOWLEDGED, "empty"))
+        found = written(integrity.findings(spark, args.root, args.packs, args.documents, args.pack), "findings")
         show(found.orderBy("level", "code", "location"), "no findings")
         return int(validate.fails_build(found, args.strict))
+    elif args.command == "baseline":
+        print(f"{integrity.accept(objects, args.root, F.lit(args.today))} accepted")
     elif args.command == "review":
         return _review(spark, args, objects)
     elif args.command in ("discover", "harvest"):
         return _harvest(spark, args)
     elif args.command == "index":
         rows = coverage.artifact_rows(objects, retrieve.current_revision(F.col("revisions"))).join(objects.select("id", "pack"), "id")
-        store.write_documents(digest.index_lines(objects, None, rows), args.to, ("pack", "document"), ("group", "place"))
+        packs_here = [r.pack for r in objects.select("pack").distinct().collect()]
+        queues = {p: store.read_state(spark, f"{args.root}/queue/{p}", QUEUE) for p in packs_here}
+        known = store.read_state(spark, f"{args.root}/acknowledged", ACKNOWLEDGED, "empty")
+        tasks = weekly.tasks_of(objects, crosspack.outstanding(crosspack.duplicate_groups(objects), known), queues) if queues else None
+        store.write_documents(digest.index_lines(objects, tasks, rows), args.to, ("pack", "document"), ("group", "place"))
     elif args.command == "supersede":
         pair = spark.createDataFrame([(args.old, args.new)], "old_id string, new_id string")
         after = updates.supersede(objects, pair, F.lit(args.today))
@@ -197,7 +188,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "import":
         scanned = documents.scan(spark, args.documents)
         show(validate.finding(scanned.filter("error is not null"), validate.ERROR, "OBJ004", F.col("path"), F.col("error")).select("code", "location", "message"), "all documents can be read")
-        store.insert_objects(documents.objects(scanned), f"{args.root}/objects")
+        found = written(documents.objects(scanned), "imported")
+        Registry(spark, args.root).record(found, "import")
+        store.insert_objects(found, f"{args.root}/objects")
     else:
         show(coverage.by_type(coverage.artifact_rows(objects, retrieve.current_revision(F.col("revisions")))), "no artifacts")
     return 0

@@ -162,20 +162,21 @@ def overrides(objects: DataFrame, proposed: list[str], known: list[str], ident:
 
 
 def artifacts(objects: DataFrame, files: DataFrame, folders: tuple[str, ...] = ("artifacts", "images"), ident: str = "id") -> DataFrame:
-    """GEN001-003: generated artifacts without a path, outside the artifact folders, or whose file (path) is not there."""
+    """GEN001-003: generated artifacts without a path, outside the artifact folders, or whose file (path; with the identifier, if files has it) is not there."""
     made = objects.select(ident, F.explode("generation").alias("kind", "g")).filter(F.col("g.status").isin("generated", "stale"))
     made = made.select(ident, "kind", F.col("g.path").alias("path"))
+    on = [ident, "path"] if ident in files.columns else ["path"]
     safe = F.col("path").rlike(rf"^({'|'.join(folders)})/") & ~F.col("path").rlike(r"(^|/)\.\.(/|$)|\\")
     return union(
         [
             finding(made.filter("path is null"), ERROR, "GEN001", F.col(ident), F.concat(F.lit("no path for "), F.col("kind"))),
             finding(made.filter(F.col("path").isNotNull() & ~safe), ERROR, "GEN002", F.col(ident), F.concat(F.lit("outside the artifact folders: "), F.col("path"))),
-            finding(made.filter(safe).join(files.select("path"), "path", "left_anti"), ERROR, "GEN003", F.col(ident), F.concat(F.lit("no such file: "), F.col("path"))),
+            finding(made.filter(safe).join(files.select(*on), on, "left_anti"), ERROR, "GEN003", F.col(ident), F.concat(F.lit("no such file: "), F.col("path"))),
         ]
     )
 
 
-def article(objects: DataFrame, limit: int, ident: str = "id") -> DataFrame:
+def article(objects: DataFrame, limit: int | Column, ident: str = "id") -> DataFrame:
     """CONS001, CONS002 and COPY001: of objects (id, title, body), articles without a heading, with another than the title, and with too many words below it."""
     heading = F.regexp_extract("body", r"(?m)^#\s+(.+?)\s*$", 1)
     below = F.trim(F.regexp_replace(F.regexp_replace("body", r"(?m)^#\s+.*$", ""), r"\s+", " "))
@@ -184,7 +185,7 @@ def article(objects: DataFrame, limit: int, ident: str = "id") -> DataFrame:
         [
             finding(objects.filter(heading == ""), ERROR, "CONS001", F.col(ident), F.lit("no heading")),
             finding(objects.filter((heading != "") & (heading != F.col("title"))), ERROR, "CONS002", F.col(ident), F.concat(F.lit("the heading is "), heading)),
-            finding(objects.filter(n > limit), ERROR, "COPY001", F.col(ident), F.concat(n.cast("string"), F.lit(" words"))),
+            finding(objects.filter(n > (F.lit(limit) if isinstance(limit, int) else limit)), ERROR, "COPY001", F.col(ident), F.concat(n.cast("string"), F.lit(" words"))),
         ]
     )
 

@@ -20,7 +20,9 @@ from ..functions.urls import url_hash
 from ..operators import classify, dedupe, identity, minting, review, updates
 from ..schema import OBJECT_COLUMNS, SCHEMA_VERSION
 from ..sources import store
+from ..sources.registry import Registry
 from .shared import written
+from .weekly import digest_of_run, write_digest
 
 QUEUE = "identity_key string, title string, source_name string, reason string, first_seen date, lifecycle string"
 #: What a proposed field is before rules or people set it.
@@ -43,8 +45,8 @@ class Run:
         return self.now.date()
 
 
-def harvest(spark: SparkSession, root: str, run: Run, items: DataFrame, rules: dict[str, list[classify.Rule]]) -> dict[str, int]:
-    """Take items (of sources.discover) into the store under root; what happened, in numbers."""
+def harvest(spark: SparkSession, root: str, run: Run, items: DataFrame, rules: dict[str, list[classify.Rule]], attempts: DataFrame | None = None) -> dict[str, int]:
+    """Take items (of sources.discover) into the store under root and write the digest of the week; what happened, in numbers. attempts: those of discover(), for the digest."""
     path, queue_path = f"{root}/objects", f"{root}/queue/{run.pack}"
     stored = store.read_objects(spark, path).filter(F.col("pack") == run.pack)
     queue = store.read_state(spark, queue_path, QUEUE)
@@ -57,10 +59,12 @@ def harvest(spark: SparkSession, root: str, run: Run, items: DataFrame, rules: d
 
     new = decisions.filter(F.col("verdict").isin(dedupe.NEW, dedupe.NEAR))
     minted, waiting = _gated(new, queue, run)
-    made = written(_objects(minted, stored, rules, run), "harvest-new")
+    registry = Registry(spark, root)
+    made = written(_objects(minted, stored, registry.counters().filter(F.col("pack") == run.pack), rules, run), "harvest-new")
     objects = made.filter(_sound())
     n_made, n_new = made.count(), objects.count()
     if n_new:
+        registry.record(objects, run.run_id)
         store.insert_objects(objects, path)
     stored = store.read_objects(spark, path).filter(F.col("pack") == run.pack)
     placed = written(_classified(stored, rules), "harvest-classified")
@@ -71,6 +75,8 @@ def harvest(spark: SparkSession, root: str, run: Run, items: DataFrame, rules: d
     report = {"items": decisions.count(), "minted": n_new, "updated": n_updated, "classified": n_placed, "errors": n_made - n_new, "queued": queue_after.filter("lifecycle = 'queued'").count()}
     report |= {f"verdict_{r.verdict}": r["items"] for r in dedupe.tally(decisions).collect()}
     store.append_run_log(spark, f"{root}/run-log", {"pack": run.pack, "run": run.run_id, "at": run.now.isoformat()} | report)
+    stored = store.read_objects(spark, path).filter(F.col("pack") == run.pack)
+    write_digest(digest_of_run(run, report, stored, objects, changed, decisions, queue_after, attempts), root)
     return report
 
 
@@ -152,10 +158,12 @@ def _classified(stored: DataFrame, rules: dict[str, list[classify.Rule]]) -> Dat
     return stored.filter(moved).withColumns(now)
 
 
-def _objects(minted: DataFrame, stored: DataFrame, rules: dict[str, list[classify.Rule]], run: Run) -> DataFrame:
+def _objects(minted: DataFrame, stored: DataFrame, registered: DataFrame, rules: dict[str, list[classify.Rule]], run: Run) -> DataFrame:
     parsed = stored.select(parse_id(F.col("id")).alias("p")).select(F.lit(run.prefix).alias("prefix"), "p.month_key", "p.sequence")
     exact_day = F.when(F.col("date_confidence") == "exact", F.col("published_date"))
-    rows = minting.mint(minted.withColumns({"prefix": F.lit(run.prefix), "dated": exact_day}), minting.counters_after(parsed), published="dated")
+    # Numbers go on from the highest that is stored or has ever been recorded.
+    used = parsed.unionByName(registered.select(F.lit(run.prefix).alias("prefix"), "month_key", F.col("counter").alias("sequence")))
+    rows = minting.mint(minted.withColumns({"prefix": F.lit(run.prefix), "dated": exact_day}), minting.counters_after(used), published="dated")
     hay = classify.haystack(F.col("title"), tx.slugify(F.col("title")), F.col("summary"))
     proposed = _proposed(hay, rules)
     values = {c: F.lit(None) for c in OBJECT_COLUMNS} | {c: F.col(c) for c in rows.columns if c in OBJECT_COLUMNS}

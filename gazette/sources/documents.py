@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import OBJECT_COLUMNS, OBJECTS
+from .paths import ARTIFACT_FOLDERS
 
 METADATA, ARTICLE = "metadata.yaml", "article.md"
 #: Where an object's folder lies within a collection: knowledge/yyyy/mm/name.
@@ -78,6 +79,18 @@ def presence(spark: SparkSession, root: str, scanned: DataFrame) -> DataFrame:
     return both.select("pack", "path", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_metadata", "has_article", "is_mapping")])
 
 
+def artifact_files(spark: SparkSession, root: str) -> DataFrame:
+    """pack, folder (yyyy/mm/name) and file (its path below that) of every file in objects' artifact folders. Listed, not read."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/*/knowledge/*/*/*/{{{','.join(ARTIFACT_FOLDERS)}}}").select("path")
+    except Exception as e:  # Spark tells a glob without files by an exception
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "pack string, folder string, file string")
+    part = lambda k: F.regexp_extract("path", r"^(.*)/([^/]+)/knowledge/(\d{4}/\d{2}/[^/]+)/(.+)$", k)
+    return files.select(part(2).alias("pack"), part(3).alias("folder"), part(4).alias("file"))
+
+
 def _scalar(value: Column) -> Column:
     """A JSON string is a YAML scalar, so quoting is JSON's; null is null."""
     return F.coalesce(F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2), F.lit("null"))

@@ -50,3 +50,40 @@ def read_packs(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, lis
         except PackError as e:
             rows.append((pack, None, None, None, None, None, str(e)))
     return spark.createDataFrame(rows, PACKS), sources, rules
+
+
+CONFIGS = "pack string, name string, id_prefix string, schema_version int, max_summary_words int, categories array<string>, error string"
+
+
+def _number(value) -> int | None:
+    return value if isinstance(value, int) and not isinstance(value, bool) else None
+
+
+def _named_sources(entries) -> list[tuple[str, str]]:
+    """(name, url) of sources and of all their fallbacks, whatever they look like."""
+    out = []
+    for e in entries or ():
+        if isinstance(e, dict):
+            out += [(str(e.get("name")), str(e.get("url")))] if e.get("role") != "manual-review" else []
+            out += _named_sources(e.get("fallbacks"))
+    return out
+
+
+def read_configs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Configurations as they stand, for rules to judge: CONFIGS with a null for what is missing, and (pack, name, url) of all sources. error: no YAML, or no mapping."""
+    rows, sources = [], []
+    for r in sorted(spark.read.text(f"{root}/*/pack.yml", wholetext=True).select("_metadata.file_path", "value").collect()):
+        pack = r[0].split("/")[-2]
+        try:
+            config = yaml.safe_load(r[1])
+            if not isinstance(config, dict):
+                raise PackError("no mapping")
+        except (yaml.YAMLError, PackError) as e:
+            rows.append((pack, None, None, None, None, None, str(e)))
+            continue
+        text = lambda k: None if config.get(k) is None else str(config[k])  # noqa: B023, E731
+        limits = config.get("limits") if isinstance(config.get("limits"), dict) else {}
+        categories = config.get("categories")
+        rows.append((pack, text("name"), text("id_prefix"), _number(config.get("schema_version")), _number(limits.get("max_summary_words")) or 120, [str(c) for c in categories] if isinstance(categories, list) else [], None))
+        sources += [(pack, *s) for s in _named_sources(config.get("sources"))]
+    return spark.createDataFrame(rows, CONFIGS), spark.createDataFrame(sources, "pack string, name string, url string")
