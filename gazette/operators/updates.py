@@ -50,13 +50,14 @@ class OwnershipError(ValueError):
     pass
 
 
-def guard_ownership(before: DataFrame, after: DataFrame, key: str, user_owned: list[str]) -> DataFrame:
-    """after, or OwnershipError where a column that users own differs from before."""
+def guard_ownership(before: DataFrame, after: DataFrame, key: str, user_owned: list[str], proposed: list[str] | None = None, locks: str = "overrides") -> DataFrame:
+    """after, or OwnershipError where a column that users own differs from before, or one of `proposed` that `locks` of the stored row names."""
     met = before.alias("b").join(after.alias("a"), key)
     same = [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in user_owned]
+    same += [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) | ~F.coalesce(F.array_contains(f"b.{locks}", c), F.lit(False)) for c in proposed or ()]
     broken = met.filter(~F.array_min(F.array(*same))).select(key).limit(1).collect()
     if broken:
-        raise OwnershipError(f"a column that users own would change, of {broken[0][0]} for one")
+        raise OwnershipError(f"a column that users own or have locked would change, of {broken[0][0]} for one")
     return after
 
 

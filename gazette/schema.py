@@ -21,10 +21,11 @@ OBJECT_COLUMNS = {
 }
 OBJECTS = ", ".join(f"`{k}` {v}" for k, v in OBJECT_COLUMNS.items())
 
-#: Columns that a person writes, and those that rules propose and a person may lock; all others are the engine's.
+#: Columns that a person writes, and those that rules propose and a person may lock; all others are the engine's (fixed values).
 USER_OWNED = ("learning_status", "notes", "prerequisites", "builds_on", "related_topics", "replaced_by", "replaces", "overrides")
 PROPOSED = ("tier", "learning_priority", "category", "tags", "difficulty", "workload", "version")
 
+#: Closed vocabularies (fixed values).
 VOCABULARIES = {
     "date_confidence": ("exact", "inferred"),
     "date_precision": ("day", "month", "year"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import parse_id
 from ..operators.updates import guard_ownership
-from ..schema import OBJECTS, USER_OWNED
+from ..schema import OBJECTS, PROPOSED, USER_OWNED
 from .snapshots import Table
 
 PARTITIONS = ("pack", "id_year", "id_month")
@@ -68,7 +68,7 @@ def insert_objects(objects: DataFrame, path: str) -> None:
 def update_objects(changed: DataFrame, path: str, by_user: bool = False) -> bool:
     """Put changed objects in place of the stored ones. Partitions without a change keep their files; whether anything was written.
 
-    Columns that users own may not differ from what is stored, unless it is a user who asks for it. Objects that are not stored are added.
+    Columns that users own, or have locked, may not differ from what is stored, unless it is a user who asks for it. Objects that are not stored are added.
     """
     table = objects_table(changed.sparkSession, path)
     changed = _placed(changed)
@@ -83,7 +83,7 @@ def update_objects(changed: DataFrame, path: str, by_user: bool = False) -> bool
         return False
     stored = table.read(base, touched)
     if not by_user:
-        changed = guard_ownership(stored, changed, "id", list(USER_OWNED))
+        changed = guard_ownership(stored, changed, "id", list(USER_OWNED), list(PROPOSED))
     rest = stored.join(changed.select("id"), "id", "left_anti")
     table.commit(base, table.stage(rest.unionByName(changed.select(*stored.columns))), touched)
     return True

@@ -112,6 +112,11 @@ def test_the_store(spark, tmp_path):
     assert store.update_objects(an_object(spark, "AB-2026-05-001", title="new"), path)
     with pytest.raises(ValueError, match="users own"):
         store.update_objects(an_object(spark, "AB-2026-05-001", notes="theirs"), path)
+    locked = an_object(spark, "AB-2026-06-001", tier=2, overrides=["tier"])
+    store.update_objects(locked, str(tmp_path / "locked"))
+    with pytest.raises(ValueError, match="locked"):
+        store.update_objects(locked.withColumn("tier", F.lit(1)), str(tmp_path / "locked"))
+    assert store.update_objects(locked.withColumn("tier", F.lit(1)), str(tmp_path / "locked"), by_user=True)
     assert {r.id: r.title for r in store.read_objects(spark, path).collect()} == {"AB-2026-05-001": "new", "AB-2026-06-001": "t"}
     one = store.read_object(spark, path, "AB-2026-06-001", "p")
     assert one.count() == 1 and all("id_year=2026/id_month=6/" in f for f in one.inputFiles())
