@@ -12,9 +12,10 @@ exact Jaccard similarity of their shingle sets, equal ones (shorter paragraphs t
 components of similar paragraphs keep their first occurrence; the others are removals. A paragraph inside another of its
 document is no occurrence of its own where both are of one component.
 
-Keys that hold a large share of the corpus are parted: one of a thousandth of all band rows or more is replaced by its
-pairs with the paragraph's other MinHash values (of two similar paragraphs that share it, 99.2 % share one of those), and
-a set of many colliding paragraphs is compared in blocks, each block with itself and with every other one.
+Keys that hold a large share of the corpus lose no pair: paragraphs that have a MinHash value of a thousandth of all band
+rows or more are compared where they share one of the first shingles of each, frequent ones last (two sets of n shingles and
+such a similarity share one of the first n / 5 + 1), and a set of many colliding paragraphs is compared in blocks, each
+block with itself and with every other one. Joins by paragraph or component broadcast what a thousandth of the rows have.
 
 Texts are read twice. The first pass yields distinct paragraphs and those that collide. A bitmap, in which all paragraphs
 are that matter, then lets the second pass return little else: occurrences of repeated paragraphs, and the shingles of
@@ -25,16 +26,15 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialize, shuffle_partitions
+from .common import HOT, LEAST_HOT, forget, hot_keys, materialize, shuffle_partitions
 from .components import connected_components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -44,12 +44,14 @@ BANDS = 4
 BLOCK = 1_024
 #: log2 of a bitmap's bits: 16 for each paragraph, but 32 MB at most.
 BITMAP = (20, 28)
-#: Words that a run of repeated paragraphs has at least, to count as a passage in op10's query.
+#: Words that a run of repeated paragraphs has at least to count as a passage; shorter ones are stock phrases.
 PASSAGE_WORDS = 20
 #: Paragraphs whose shingles a task remembers to have returned.
 SENT = 200_000
 #: Documents cut together.
 ROWS = 64
+#: Columns of the MinHash values.
+MINIMA = [f"m{k}" for k in range(BANDS)]
 
 _U = np.uint64
 #: An odd number, and its inverse modulo 2^64.
@@ -171,7 +173,7 @@ def _longs(*arrays: np.ndarray) -> list[pa.Array]:
 
 def distinct_paragraphs(texts: DataFrame) -> DataFrame:
     """p (digest), size (different shingles), n (occurrences) and m0, m1, ... (MinHash values) of each distinct paragraph of texts (text: binary). Copies are counted before the shuffle."""
-    names = ["p", "size", *(f"m{k}" for k in range(BANDS))]
+    names = ["p", "size", *MINIMA]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,19 +205,41 @@ def _by_key(rows: DataFrame, run, schema: str) -> DataFrame:
     return dealt.mapInArrow(lambda batches: run(stream(batches)), schema)
 
 
-def band_keys(distinct: DataFrame) -> DataFrame:
-    """(key, size, p) of distinct's paragraphs with shingles, a row for each band; hot keys are parted by the paragraph's other MinHash values."""
-    names = [f"m{k}" for k in range(BANDS)]
-    deep = distinct.filter("size > 0").select("p", "size", *names)
-    plain = deep.select(F.explode(F.array(*names)).alias("key"), "size", "p")
-    hot = [r.key for r in hot_keys(deep.select(*names)).collect()]  # a bounded number
-    if not hot:
-        return plain
-    parted = [
-        deep.filter(F.col(m).isin(hot)).select(F.explode(F.array(*[F.xxhash64(m, other) for other in names if other != m])).alias("key"), "size", "p")
-        for m in names
-    ]
-    return reduce(DataFrame.unionByName, parted, plain.filter(~F.col("key").isin(hot)))
+def _with_shingles(distinct: DataFrame) -> DataFrame:
+    return distinct.filter("size > 0").select("p", "size", *MINIMA)
+
+
+def hot_minima(distinct: DataFrame) -> list[int]:
+    """MinHash values that a thousandth of all of distinct's paragraphs and bands have, or more: a bounded number."""
+    return [r.key for r in hot_keys(_with_shingles(distinct).select(*MINIMA)).collect()]
+
+
+def band_keys(distinct: DataFrame, hot: list[int]) -> DataFrame:
+    """(key, size, p) of distinct's paragraphs with shingles, a row for each band whose key is not hot."""
+    rows = _with_shingles(distinct).select(F.explode(F.array(*MINIMA)).alias("key"), "size", "p")
+    return rows.filter(~F.col("key").isin(hot)) if hot else rows
+
+
+def hot_paragraphs(distinct: DataFrame, hot: list[int]) -> DataFrame:
+    """(p): distinct's paragraphs that have a hot key in some band."""
+    return _with_shingles(distinct).filter(F.lit(False) if not hot else F.greatest(*[F.col(m).isin(hot) for m in MINIMA])).select("p")
+
+
+def prefix_keys(shingles: DataFrame) -> DataFrame:
+    """(key, size, p) of paragraphs (p, shingles): a row for each of a paragraph's first shingles, of which any two of similarity SIMILAR share one.
+
+    The order is that of the hashes, but shingles in a thousandth of all places or more (a bounded number) come last, so
+    that they are keys only of paragraphs with little else.
+    """
+    frequent = [r.key for r in hot_keys(shingles.select(F.explode("shingles").alias("key"))).collect()]
+    own = F.col("shingles")
+    if frequent:
+        those = F.array(*map(F.lit, frequent))
+        ordered = F.concat(F.array_sort(F.array_except(own, those)), F.array_sort(F.array_intersect(own, those)))
+    else:
+        ordered = F.array_sort(own)
+    first = F.slice(ordered, F.lit(1), F.expr("cast(size(shingles) div 5 as int) + 1"))
+    return shingles.select(F.explode(first).alias("key"), F.size(own).cast("long").alias("size"), "p")
 
 
 def _blocked(name: np.ndarray, members: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +259,8 @@ def _blocked(name: np.ndarray, members: np.ndarray, p: np.ndarray) -> tuple[np.n
     return np.concatenate(keys), np.concatenate(ps)
 
 
-def colliding(distinct: DataFrame) -> DataFrame:
-    """(key, p): sets of two paragraphs or more that have a band's key and sizes that allow similarity; key names the set, or two blocks of a large one.
+def colliding(keys: DataFrame) -> DataFrame:
+    """(key, p): sets of two paragraphs or more of keys (key, size, p) that have a key and sizes that allow similarity; key names the set, or two blocks of a large one.
 
     A key's paragraphs in order of size are parted where one has less than SIMILAR of the next one's shingles: none before is
     similar to one after. Most paragraphs inside others are set apart so, before any shingles are read.
@@ -268,7 +292,7 @@ def colliding(distinct: DataFrame) -> DataFrame:
             held.append((k[cut:], n[cut:], p[cut:]))
         yield from done(held)
 
-    dealt = band_keys(distinct).repartition(shuffle_partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "size", "p")
+    dealt = keys.repartition(shuffle_partitions(keys.sparkSession), "key").sortWithinPartitions("key", "size", "p")
     return dealt.mapInArrow(run, "key long, p long").distinct()
 
 
@@ -382,9 +406,22 @@ def verified(candidates: DataFrame, shingles: DataFrame) -> DataFrame:
     return _by_key(candidates.join(shingles, "p").select("key", "p", "shingles"), run, "u long, v long").distinct()
 
 
+def _dealt(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined to side, a row for each key; n: how many of rows have it. Keys of a share of HOT or more, a bounded number, are broadcast, so their rows stay where they are."""
+    least = max(LEAST_HOT, HOT * (side.agg(F.sum(n)).first()[0] or 0))
+    hot = F.broadcast(side.filter(F.col(n) >= least))
+    cold = rows.join(F.broadcast(side.filter(F.col(n) >= least).select(key)), key, "left_anti").join(side.filter(F.col(n) < least), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
+def _own() -> Column:
+    """Rows without an identifier are not told apart by document, so each is dealt by itself."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("p", "start", "end"))
+
+
 def _outermost(rows: DataFrame) -> DataFrame:
     """rows without those inside another of the same document and component. Documents without an identifier are not told apart, so theirs stay."""
-    place = Window.partitionBy("component", "doc_id").orderBy("start")
+    place = Window.partitionBy("component", "doc_id", _own()).orderBy("start")
     before = F.max("end").over(place.rangeBetween(Window.unboundedPreceding, -1))
     here = F.max("end").over(place.rangeBetween(0, 0))
     inside = F.coalesce(before >= F.col("end"), F.lit(False)) | (here > F.col("end"))
@@ -393,39 +430,53 @@ def _outermost(rows: DataFrame) -> DataFrame:
 
 def _runs(rows: DataFrame) -> DataFrame:
     """rows with run_words, the words of the run of adjoining or overlapping rows of the document that each is in; n_words where there is no identifier."""
-    of_doc = Window.partitionBy("doc_id")
+    of_doc = Window.partitionBy("doc_id", _own())
     before = F.max("last").over(of_doc.orderBy("word", "last").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("last", F.col("word") + F.col("n_words"))
     rows = rows.withColumn("opens", F.when(F.coalesce(before >= F.col("word"), F.lit(False)), 0).otherwise(1))
     rows = rows.withColumn("run", F.sum("opens").over(of_doc.orderBy("word", "last").rowsBetween(Window.unboundedPreceding, 0)))
-    of_run = Window.partitionBy("doc_id", "run")
+    of_run = Window.partitionBy("doc_id", _own(), "run")
     words = F.when(F.col("doc_id").isNull(), F.col("n_words")).otherwise(F.max("last").over(of_run) - F.min("word").over(of_run))
     return rows.withColumn("run_words", words).drop("last", "opens", "run")
 
 
-def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = 1) -> DataFrame:
-    """The paragraphs that occur again, in like or equal words: doc_id, start, end, n_words, run_words, keep_doc_id, keep_start, copies, removed.
+def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = 1, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """The paragraphs that occur again, in like or equal words: doc_id, start, end, n_words, run_words, passage, keep_doc_id, keep_start, copies, removed.
 
     A row for each occurrence (lines, blocks and pieces may overlap); occurrences of one component have one keep_doc_id and
     keep_start, those of the first of them (by identifier, null last, then place), which stays; the others are removed. copies
-    counts the component's. run_words counts the words of the stretch of repeated text that the row is part of; with least_run,
-    only stretches of so many words or more are returned, so that documents which share a stock phrase are left alone.
+    counts the component's. run_words counts the words of the stretch of repeated text that the row is part of; passage tells
+    stretches of passage_words or more from stock phrases, so that a caller can leave documents alone which share no more than
+    those. With least_run, only stretches of so many words or more are returned.
     Documents without a repeated paragraph have no row. Null and empty texts have no paragraphs; paragraphs shorter than a
     shingle are repeated only by equal ones. Rows that repeat whole are occurrences of their own, but share their place.
     Extra columns are ignored; no rows give no rows.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     distinct = materialize(distinct_paragraphs(texts.select("text")), "paragraphs")
-    candidates = materialize(colliding(distinct), "colliding")
+    hot = hot_minima(distinct)
+    candidates = materialize(colliding(band_keys(distinct, hot)), "colliding")
     meeting = candidates.select("p").distinct()
-    repeated = distinct.filter("n > 1").select("p")
-    found = materialize(occurrences(texts, bitmap(repeated.unionByName(meeting)), bitmap(meeting)), "occurrences")
+    if hot:
+        meeting = meeting.unionByName(hot_paragraphs(distinct, hot)).distinct()
+    repeated = distinct.filter("n > 1").select("p", "n")
+    found = materialize(occurrences(texts, bitmap(repeated.select("p").unionByName(meeting)), bitmap(meeting)), "occurrences")
     shingles = found.filter("shingles is not null").groupBy("p").agg(F.first("shingles").alias("shingles"))
-    components = connected_components(verified(candidates, shingles)).select(F.col("node").alias("p"), "component")
-    named = components.unionByName(repeated.join(components, "p", "left_anti").select("p", F.col("p").alias("component")))
-    rows = _outermost(found.drop("shingles").join(named, "p"))
+    links = verified(candidates, shingles)
+    if hot:
+        of_hot = materialize(shingles.join(hot_paragraphs(distinct, hot), "p", "left_semi"), "hot-shingles")
+        links = links.unionByName(verified(materialize(colliding(prefix_keys(of_hot)), "colliding-hot"), of_hot))
+    components = connected_components(links).select(F.col("node").alias("p"), "component")
+    alone = repeated.join(components, "p", "left_anti").select("p", F.col("p").alias("component"), "n")
+    named = components.join(repeated, "p", "left").select("p", "component", F.coalesce("n", F.lit(1)).alias("n")).unionByName(alone)
+    rows = _outermost(_dealt(found.drop("shingles"), materialize(named, "named"), "p", "n").drop("n"))
+    rows = materialize(rows, "placed")
+    for used in (distinct, candidates, found):
+        forget(used)
     first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "start")
     keep = rows.groupBy("component").agg(F.min(first).alias("keep"), F.count("*").alias("copies")).filter("copies > 1")
-    rows = _runs(rows.join(keep, "component")).filter(F.col("run_words") >= least_run)
+    rows = _runs(_dealt(rows, materialize(keep, "keep"), "component", "copies")).filter(F.col("run_words") >= least_run)
     here = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start"))
-    return rows.select("doc_id", "start", "end", "n_words", "run_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "copies", (~here).alias("removed"))
+    passage = F.col("run_words") >= passage_words
+    kept = [F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start")]
+    return rows.select("doc_id", "start", "end", "n_words", "run_words", passage.alias("passage"), *kept, "copies", (~here).alias("removed"))

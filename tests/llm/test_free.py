@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gazette.llm import bpe, chat, common, components, quality, secrets, simhash, substring, toxicity, warc
+from gazette.llm import bpe, chat, common, components, quality, queries, secrets, simhash, substring, toxicity, warc
 
 from .test_native import HARD, clashing, docs, empty, prose
 
@@ -481,8 +481,7 @@ def units(text):
 
 def test_like_lines_and_blocks_of_the_table_are_found(spark):
     """Recall over all pairs of lines and blocks at 0.8 or more, by exact comparison of everything that shares a shingle."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     of = collections.defaultdict(list)
     for d, t in texts.items():
         for a, b in units(t):
@@ -495,7 +494,7 @@ def test_like_lines_and_blocks_of_the_table_are_found(spark):
     pairs = {(u, v) for ws in by_shingle.values() for u in ws for v in ws if u < v and min(len(u), len(v)) >= 5}
     alike = [(u, v) for u, v in pairs if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v])]
     found = collections.defaultdict(list)
-    for r in substring.paragraph_groups(docs).collect():
+    for r in queries.QUERIES["op10_paragraph_dedup"](spark, "/root/testdata/sf0.01").collect():
         found[r.doc_id].append((r.start, r.end, (r.keep_doc_id, r.keep_start)))
     groups_over = lambda d, a, b: {k for x, y, k in found[d] if x <= a and y >= b}
     caught = sum(bool(groups_over(*of[u][0]) & groups_over(*of[v][0])) for u, v in alike)
@@ -512,6 +511,37 @@ def test_runs_tell_passages_from_stock_phrases(spark):
     assert {r.doc_id for r in every if r.n_words == 5} == {0, 1, 2, 3} and {r.run_words for r in every if r.doc_id == 0} == {5}
     runs = substring.paragraph_groups(rows, least_run=20).collect()
     assert {r.doc_id for r in runs} == {2, 3} and {r.run_words for r in runs if r.doc_id == 3} == {35}
+    assert {r.doc_id for r in every if r.passage} == {2, 3} and all(r.passage == (r.run_words >= 20) for r in every)
+
+
+def test_hot_keys_lose_no_pair_and_hot_rows_are_broadcast(spark, monkeypatch):
+    """Every key hot, so that only first shingles find pairs, and every second paragraph and component broadcast: the same rows."""
+    block = prose(120, 40).split()
+    texts = [*HARD, *(" ".join([*block[: 7 * k], f"w{k}", *block[7 * k + 1 :]]) for k in range(5)), " ".join(block), prose(121), f"{prose(122, 8)}\n{prose(123)}\n{prose(122, 8)}"]
+    rows = docs(spark, [(t,) for t in [*texts, *texts[-3:]]])
+    rows = rows.withColumn("doc_id", F.when(F.col("doc_id") != len(texts) + 1, F.col("doc_id")))
+    want = sorted(map(str, substring.paragraph_groups(rows).collect()))
+    monkeypatch.setattr(substring, "hot_minima", lambda d: sorted({x for r in d.select(*substring.MINIMA).collect() for x in r}))
+    monkeypatch.setattr(substring, "LEAST_HOT", 3)
+    monkeypatch.setattr(substring, "HOT", 0.0)
+    assert len(want) > 20 and sorted(map(str, substring.paragraph_groups(rows).collect())) == want
+
+
+@pytest.mark.parametrize("frequent", [[], [0, 1, 2]])
+def test_similar_sets_share_one_of_the_first_shingles(spark, monkeypatch, frequent):
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in range(1, 40):
+        s = list(range(3)) * (n > 6) + rng.integers(10, 10**6, n).tolist()
+        sets += [s, [*s[: max(1, int(0.95 * len(s)))], *rng.integers(10, 10**6, len(s) // 20).tolist()]]
+    sets = [sorted(set(s)) for s in sets]
+    monkeypatch.setattr(substring, "hot_keys", lambda rows: spark.createDataFrame([(x,) for x in frequent], "key long"))
+    keys = collections.defaultdict(set)
+    for r in substring.prefix_keys(spark.createDataFrame(list(enumerate(sets)), "p long, shingles array<long>")).collect():
+        assert r.size == len(sets[r.p])
+        keys[r.p].add(r.key)
+    alike = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})]
+    assert len(alike) >= 30 and all(keys[a] & keys[b] for a, b in alike)
 
 
 def test_hot_keys_and_large_sets_are_parted(spark, monkeypatch):
