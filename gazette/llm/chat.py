@@ -77,7 +77,7 @@ def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """conv_id, turn, role, text and written, the turn as formatted, for each row; a conversation is its rows' `written` in order of turn, role and text.
 
     Null role and null text are empty, a null turn comes first, rows with a null conversation are one conversation. Rows
-    that repeat are turns of their own; extra columns are ignored.
+    that repeat are turns of their own; extra columns are ignored. A text of any length is one turn; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,11 @@ class _Reader:
 
 
 def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of each conversation of format_turns()' result, from `written` alone."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of each conversation of format_turns()' result, from `written` alone.
+
+    Turns that tie in `turn` are read by role, then text; a conversation without a turn of `loss_role` has no loss and the
+    digest of nothing. Text that does not parse is an error, never a shorter conversation. No rows give no rows.
+    """
     kind = dict(formatted.dtypes)["conv_id"]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 

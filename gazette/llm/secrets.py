@@ -6,7 +6,8 @@ once however many paths bear it, adds them to the ledger, and joins the findings
 
 Only hashes are held against the ledger. Texts move for the paths that are to be scanned alone: one path of each unseen
 blob, that of the smallest identifier, is joined to its text by identifier and blob, so that a blob which very many paths
-bear is spread over all tasks. The ledger is partitioned by rule and version, so a run reads the rules that it asks for.
+bear is spread over all tasks. Where several rows bear that identifier and blob, they are aggregated to one before the scan.
+The ledger is partitioned by rule and version, so a run reads the rules that it asks for. Hashes are shuffled as bytes.
 A pair that is appended twice, by two runs at a time or by one that is tried again, counts once wherever the ledger is read.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, new_path, prefix
+from .common import forget, materialize, new_path, prefix, text_groups
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,8 @@ RULES = (
     Rule("forge", 1, r"\bgh[opsur]_[A-Za-z0-9]{36,}", 0, 0, ("gh",)),
 )
 BASE = ("assign", "access", "hex")
-#: Text that is searched for a rule's hints at a time; a text of any length is scanned whole.
-ROWS = 256
+#: Bytes of texts that are Python strings at a time; a longer text is scanned whole, on its own.
+BYTES = 1 << 22
 
 
 class Scanner:
@@ -89,12 +90,14 @@ def read_ledger(spark: SparkSession, path: str | None, rules: tuple[Rule, ...] =
 
 
 def unseen(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, doc_id (the smallest that bears it, null if only null does) and todo (kind/version, of those that `ledger` lacks) for each blob of paths (doc_id, blob) that has any."""
+    """blob, doc_id (the smallest that bears it, null before all), copies (rows of paths with both) and todo (kind/version, of those that `ledger` lacks) for each blob of paths (doc_id, blob) that has any."""
     names = F.array(*[F.lit(f"{r.kind}/{r.version}") for r in rules])
-    have = ledger.groupBy(F.col("blob").alias("seen")).agg(F.collect_set(F.concat_ws("/", "kind", F.col("version").cast("string"))).alias("have"))
-    first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    key = F.unhex("blob")
+    have = ledger.groupBy(key.alias("seen")).agg(F.collect_set(F.concat_ws("/", "kind", F.col("version").cast("string"))).alias("have"))
+    rows = paths.groupBy(key.alias("key"), "doc_id").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "copies")).alias("m"))
     todo = F.array_except(names, F.coalesce("have", F.array().cast("array<string>")))
-    return first.join(have, F.col("blob") == F.col("seen"), "left").select("blob", "doc_id", todo.alias("todo")).filter("size(todo) > 0")
+    return first.join(have, F.col("key") == F.col("seen"), "left").select(F.lower(F.hex("key")).alias("blob"), "m.doc_id", "m.copies", todo.alias("todo")).filter("size(todo) > 0")
 
 
 def scan_texts(rows: DataFrame, run_name: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -103,9 +106,9 @@ def scan_texts(rows: DataFrame, run_name: str, rules: tuple[Rule, ...] = RULES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners: dict[tuple[str, ...], Scanner] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
+            for at, n in text_groups(whole.column(1), BYTES):
                 out: list[list] = [[], [], [], [], []]
-                for blob, text, left in zip(*(c.to_pylist() for c in whole.slice(at, ROWS).columns), strict=True):
+                for blob, text, left in zip(*(c.to_pylist() for c in whole.slice(at, n).columns), strict=True):
                     scanner = scanners.setdefault(tuple(left), Scanner(tuple(r for r in rules if f"{r.kind}/{r.version}" in left)))
                     found = scanner.spans(text)
                     for rule, _ in scanner.rules:
@@ -131,9 +134,12 @@ def scan(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id"
     paths = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), blob.alias("blob")), "paths")
     path = ledger_path or new_path(spark, "blob-ledger")
     todo = materialize(unseen(paths, read_ledger(spark, ledger_path, rules), rules), "unseen")  # so that its size is known: texts are shuffled only where it is large
-    texts = docs.select(F.col(f"`{id_col}`").alias(p + "id"), blob.alias(p + "blob"), text.alias("text"))
-    met = texts.join(todo, F.col(p + "id").eqNullSafe(F.col("doc_id")) & (F.col(p + "blob") == F.col("blob")))
-    scan_texts(met, uuid.uuid4().hex, rules).write.mode("append").partitionBy("kind", "version").parquet(path)
+    texts = docs.select(F.col(f"`{id_col}`").alias(p + "id"), F.unhex(blob).alias(p + "blob"), text.alias("text"))
+    met = lambda todo: texts.join(todo, F.col(p + "id").eqNullSafe(F.col("doc_id")) & (F.col(p + "blob") == F.unhex("blob"))).select("blob", "text", "todo")
+    fresh, repeated = met(todo.filter("copies = 1")), todo.filter("copies > 1")
+    if not repeated.isEmpty():
+        fresh = fresh.unionByName(met(repeated).groupBy("blob").agg(F.any_value("text").alias("text"), F.any_value("todo").alias("todo")))
+    scan_texts(fresh, uuid.uuid4().hex, rules).write.mode("append").partitionBy("kind", "version").parquet(path)
     forget(todo)
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))])
     found = read_ledger(spark, path, rules).filter(F.size("spans") > 0)

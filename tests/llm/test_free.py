@@ -187,11 +187,22 @@ def test_copies_of_a_blob_are_scanned_once_and_found_everywhere(spark, tmp_path)
     path = str(tmp_path / "ledger")
     got = collections.Counter((r.doc_id, tuple(s.kind for s in r.spans)) for r in secrets.scan(rows, path).collect())
     assert got[None, ()] == 4 and got[None, ("access",)] == 2 and got[7, ("access",)] == 2 and got[7, ("assign",)] == 1 and len(got) == 903
-    assert secrets.read_ledger(spark, path).select("blob", "kind").distinct().count() == 3 * len(secrets.RULES)
+    assert secrets.read_ledger(spark, path).select("blob", "kind").distinct().count() == 3 * len(secrets.RULES) == secrets.read_ledger(spark, path).count()
     assert secrets.digests_of_generations(rows).count() == rows.count()
     assert secrets.digests_of_generations(empty(spark)).count() == 0
 
 
+def test_whole_repeats_are_scanned_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(secrets, "BYTES", 40)  # a text or two at a time
+    text = "token: abcdefghijkl"
+    rows = docs(spark, [(text, 5)] * 200 + [("deadbeefdeadbeef " * 9, k) for k in (None, None, 1)] + [("other", None)] * 3).repartition(9)
+    path = str(tmp_path / "ledger")
+    got = collections.Counter((r.doc_id, len(r.spans)) for r in secrets.scan(clashing(rows), path).collect())
+    assert got == {(5, 1): 200, (None, 9): 2, (1, 9): 1, (None, 0): 3}
+    assert [r.pairs for r in secrets.scanned_pairs(spark, path).collect()] == [3] * len(secrets.RULES)
+    assert secrets.scan(rows, path).count() == 206 and {r.pairs for r in secrets.scanned_pairs(spark, path).collect()} == {3}
+
+
 # --- chat
 
 PIECES = st.lists(st.sampled_from([*chat.CONTROLS, "\\", "<", "[", "s>", "INST]", "/INST]", "a", "\n", "é", "<\\s>", "[\\\\/INST]"]), max_size=8).map("".join)
@@ -573,6 +584,34 @@ def test_similar_joins_what_is_similar(sets):
 # --- pipeline
 
 
+def test_operators_on_no_rows(spark):
+    assert simhash.simhash_groups(empty(spark)).count() == simhash.simhash_kept(empty(spark)).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_turns(turns).count() == chat.read_back(chat.format_turns(turns)).count() == 0
+    assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    assert toxicity.toxicity(empty(spark), labels).count() == toxicity.toxicity(empty(spark), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_has_a_result_for_every_table(spark, name, tmp_path):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, empty(spark), str(tmp_path)).count() == 0
+    base = docs(spark, [(t,) for t in HARD] * 2 + [(prose(k),) for k in range(40)] + [(prose(1), 1), (prose(1), 1), (prose(2), None), (None, None)])
+    rows = clashing(base.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))))
+    got = stage(spark, rows, str(tmp_path))
+    assert got.columns == (rows.columns if name != "bpe" else ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"])
+    words = lambda df: {w for r in df.select("text").collect() for w in (r.text or "").split()}
+    if name == "bpe":
+        found = got.collect()
+        assert len(found) == rows.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in found)
+    else:
+        assert 0 < got.count() and words(got) <= words(rows) and set(r.n for r in got.select("n").distinct().collect()) == {9}
+    nulls = rows.limit(3).select(*[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+    n = stage(spark, nulls, str(tmp_path)).count()
+    assert n == {"quality_rules": 0, "exact_dedup": 1, "near_dedup": 3, "mixing": 0, "bpe": 3}[name]
+
+
 def test_pipeline_is_the_stages_one_after_another(spark, tmp_path):
     rng = random.Random(9)
     near = prose(500, 300).split()
