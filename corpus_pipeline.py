@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, exact and near deduplication, mixing, then token ids of what is left."""
+"""The corpus pipeline: quality rules, exact and near deduplication, mixing, then token ids of what is left.
+
+Every stage but the last returns the columns of its docs, extra ones included, whatever they are called. No rows give no
+rows, in any stage. Null columns are left as they are.
+"""
 
 from __future__ import annotations
 
@@ -22,27 +26,45 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rules or the outlier distance reject go."""
+    """Rows that the base rules or the outlier distance reject go.
+
+    Null and empty texts have too few words, so they go. Rows that repeat are judged alike and each on its own; a null
+    language or source is a group like any other.
+    """
     return quality_kept(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each normalised text stays."""
+    """One row of each normalised text stays.
+
+    Null is the empty text. Of equal texts the longest original stays, then the smallest doc_id; of rows that tie in both,
+    one. A text of any length is compared whole.
+    """
     return content_sort(docs, carry=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
+    """One document of each group of linked fingerprints stays, that of the smallest doc_id.
+
+    Null and wordless texts have fingerprint zero and are linked like any other. A row with a null doc_id stays.
+    """
     return simhash_kept(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows come as often as their source's target wants them."""
+    """Rows come as often as their source's target wants them.
+
+    Null texts have no words and are not taken; null sources are one source, the last. One row of a source is cut at the
+    words that its budget has left. Rows that repeat are rows of their own.
+    """
     return mixed(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row that is left, and whether they decode to its text."""
+    """doc_id, lang, source, n_tokens, ids and round_trip (whether the ids decode to the text) of each row that is left.
+
+    Null text is empty: no ids. Rows that repeat are encoded each. Other columns are not carried on: this is the last stage.
+    """
     rows = encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, decoded_col="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
