@@ -26,6 +26,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that written() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    own = "/" + shared_dir(spark).rpartition(":")[2].strip("/") + "/gazette/"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if own in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_path(path: str) -> str:
     """A path as open() takes it; only folders that every machine has mounted have one."""
     scheme, colon, rest = path.partition(":")

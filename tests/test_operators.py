@@ -64,6 +64,17 @@ def test_similarity_join_is_brute_force(spark, threshold):
     assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
 
 
+def test_similarity_join_of_copies_and_repeated_keys(spark):
+    """Rows of one key are rows of their own, copies of a set are paired like others, and pairs come once; in any order of the two sizes."""
+    rng = random.Random(3)
+    base = [[f"w{k}-{j}" for j in range(40)] for k in range(4)]
+    sets = [(9 - k % 10, rng.sample(base[k % 4], rng.choice([34, 38, 40, 40]))) for k in range(40)] + [(3, []), (None, base[0])]
+    sets += [(11, [f"a{j}" for j in range(40)]), (11, [f"b{j}" for j in range(40)]), (12, [f"b{j}" for j in range(40)])]  # the first row's elements are rarer
+    want = [(a, b) for a, s in sets for b, t in sets if a is not None and b is not None and a < b and s and t and len({*s} & {*t}) >= 0.85 * len({*s} | {*t})]
+    got = similar_pairs(spark.createDataFrame(sets, "k long, e array<string>"), "k", "e", 0.85)
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
+
+
 # --- identity and gate
 
 
