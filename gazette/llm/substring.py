@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +62,11 @@ INVERSE = pow(ODD, -1, 1 << 64)
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A fixed finaliser of 64-bit hashes (that of MurmurHash3)."""
-    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
+    x = x ^ (x >> _U(33))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x *= _U(factor)
+        x ^= x >> _U(33)
+    return x
 
 
 def _chain(h: np.ndarray, n: int) -> np.ndarray:
@@ -74,6 +77,16 @@ def _chain(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _least(x: np.ndarray) -> np.ndarray:
+    """The least of every REACH numbers in a row."""
+    out, n = x, 1
+    while n < REACH:
+        more = min(n, REACH - n)
+        out = np.minimum(out[:-more], out[more:])
+        n += more
+    return out
+
+
 def _blocks(texts: list[list[list[bytes]]]) -> np.ndarray:
     """(first, end) of runs of lines with words, counted over all texts, in those texts that have a blank line between words."""
     out, at = [], 0
@@ -100,7 +113,7 @@ class Paragraphs:
         blocks = _blocks(lines)
         first, last = np.concatenate((first, starts[:-1], starts[blocks[:, 0]])), np.concatenate((last, starts[1:], starts[blocks[:, 1]]))
         some = last > first
-        self.first, self.last = np.unique(np.column_stack((first[some], last[some])), axis=0).T
+        self.first, self.last = np.divmod(np.unique(first[some] * (len(h) + 1) + last[some]), len(h) + 1)
         self.doc = np.searchsorted(self.offset, self.first, "right") - 1  # of documents of one offset, only the last has words
         self.shingles = _chain(h, SHINGLE) if len(h) >= SHINGLE else h[:0]
         # A paragraph's digest is the sum of its words' hashes times powers of ODD, from the first word on, mixed: a difference of sums over all words.
@@ -109,17 +122,21 @@ class Paragraphs:
         self.digest = _mix((upto[self.last] - upto[self.first]) * inverse[self.first] + (self.last - self.first).astype(np.uint64))
         n = len(self.shingles)
         self.at, self.to = np.minimum(self.first, n), np.minimum(np.maximum(self.last - SHINGLE + 1, self.first), n)
-        self.size = self._sizes()
 
-    def _sizes(self) -> np.ndarray:
+    @cached_property
+    def size(self) -> np.ndarray:
         """How many different shingles each paragraph has; 0 of those shorter than a shingle."""
         size = self.to - self.at
         order = np.argsort(self.shingles, kind="stable")
-        again = np.zeros(len(order) + 1, np.int64)
-        again[order[1:][self.shingles[order[1:]] == self.shingles[order[:-1]]] + 1] = 1
-        met = np.cumsum(again)
-        for k in np.flatnonzero(met[self.to] > met[self.at]).tolist():
-            size[k] = len(np.unique(self.shingles[self.at[k] : self.to[k]]))
+        same = self.shingles[order[1:]] == self.shingles[order[:-1]]
+        # Where each shingle was before, or -1; only a paragraph that has one of its shingles before as well repeats it.
+        before = np.full(len(order) + 1, -1, np.int64)
+        before[order[1:][same]] = order[:-1][same]
+        deep = np.flatnonzero(size)
+        if len(deep):
+            last = np.maximum.reduceat(before, np.column_stack((self.at[deep], self.to[deep])).ravel())[::2]
+            for k in deep[last >= self.at[deep]].tolist():
+                size[k] = len(np.unique(self.shingles[self.at[k] : self.to[k]]))
         return size
 
     def _pieces(self, h: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +150,8 @@ class Paragraphs:
             place = np.arange(len(h)) + REACH * (1 + np.repeat(np.arange(n_texts), self.n_words))
             spread = np.full(len(h) + REACH * (n_texts + 1), most, np.uint64)
             spread[place] = pair
-            around = np.lib.stride_tricks.sliding_window_view(spread, 2 * REACH + 1)[place - REACH]
-            cut[:-1] = pair < np.minimum(around[:, :REACH].min(axis=1), around[:, REACH + 1 :].min(axis=1))
+            least = _least(spread)
+            cut[:-1] = pair < np.minimum(least[place - REACH], least[place + 1])
             # Of two cuts less than LEAST_WORDS apart the greater goes: a short piece is merged with a neighbour.
             at = np.flatnonzero(cut)
             text = np.searchsorted(self.offset, at, "right")

@@ -382,6 +382,25 @@ def test_cuts_do_not_depend_on_the_company():
         assert together.minima(band).tolist() == [m for a in alone for m in a.minima(band).tolist()]
 
 
+def test_sizes_are_counted_only_when_asked_for_and_where_a_shingle_comes_again(monkeypatch):
+    line = b"one two three four five six seven eight"
+    texts = [line + b"\n" + line, line + b" nine", b"", b"a b a b a b a b a b\n\n" + line, b"a " * 30]
+    asked = []
+    unique = np.unique
+    monkeypatch.setattr(substring.np, "unique", lambda x, *a, **b: asked.append(len(x)) or unique(x, *a, **b))
+    got = substring.Paragraphs(texts)
+    assert len(asked) == 1  # the second pass over texts reads no sizes
+    sizes = got.size
+    want = [len({*got.shingles[a:b].tolist()}) for a, b in zip(got.at, got.to, strict=True)]
+    assert sizes.tolist() == want
+    assert len(asked) - 1 == sum(n < b - a for n, a, b in zip(want, got.at, got.to, strict=True))  # a shingle of another paragraph is no repetition
+
+
+def test_least_of_neighbours():
+    x = np.array([random.Random(k).randrange(50) for k in range(40)], np.uint64)
+    assert substring._least(x).tolist() == [min(x[k : k + substring.REACH].tolist()) for k in range(len(x) - substring.REACH + 1)]
+
+
 def test_places_are_those_of_words():
     texts = [t or "" for t in HARD] + ["é ü\n\tж 中文  x", " ", "\U0001f600a b"]
     starts, ends = substring.places([t.encode() for t in texts])
